@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from ctxspark.operators.usage import clean_outcome
 from ctxspark.session import shared_folder
 
 
-def log_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def log_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Parquet files of usage entries, read as they arrive."""
     return spark.readStream.schema(schema).parquet(path)
 
@@ -42,5 +42,5 @@ def drained(stream: DataFrame) -> DataFrame:
     query = stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     rest = [c for c in stream.columns if c != "day"]
-    parts = spark.read.schema(stream.schema.add("_batch", "int")).option("basePath", f"{base}/out").parquet(f"{base}/out/*")
+    parts = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).option("basePath", f"{base}/out").parquet(f"{base}/out/*")
     return parts.groupBy("day").agg(F.max_by(F.struct(*rest), "_batch").alias("r")).select("day", "r.*")
