@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxspark.llm import handwritten, secrets
+from ctxspark.llm import handwritten, secrets, splitting
 from ctxspark.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,15 @@ def p2_found(t: Tables) -> DataFrame:
 def p2_reasons(t: Tables) -> DataFrame:
     """Number of such files by repository and reason."""
     return handwritten.not_handwritten(t.chunks).groupBy("repo_id", "reason").agg(F.count("*").alias("files"))
+
+
+@query
+def p4_found(t: Tables) -> DataFrame:
+    """Natural cut lines of the chunks above the size limit."""
+    return splitting.natural_cuts(splitting.oversized(t.chunks))
+
+
+@query
+def p4_pieces(t: Tables) -> DataFrame:
+    """The pieces of the chunks above the size limit."""
+    return splitting.pieces(t.chunks)
