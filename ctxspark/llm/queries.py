@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxspark.llm import handwritten, secrets, splitting
+from ctxspark.llm import handwritten, secrets, similar, splitting
 from ctxspark.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,19 @@ def p4_found(t: Tables) -> DataFrame:
 def p4_pieces(t: Tables) -> DataFrame:
     """The pieces of the chunks above the size limit."""
     return splitting.pieces(t.chunks)
+
+
+@query
+def p5_found(t: Tables) -> DataFrame:
+    """Pairs of entries where one is among the 5 most similar of the other and their cosine is 0.85 at least."""
+    rows = similar.usable(t.cache_entries, t.provider_dims).withColumn("asks", F.lit(True))
+    near = similar.with_copies(rows, 5, 0.85).filter(F.round("cosine", 6) >= 0.85)
+    return near.select(F.least("entry_key", "near").alias("key_a"), F.greatest("entry_key", "near").alias("key_b")).filter("key_a < key_b").distinct()
+
+
+@query
+def p5_neighbours(t: Tables) -> DataFrame:
+    """The 5 most similar entries, whatever their cosine, of every entry whose key is divisible by 50."""
+    asks = F.conv(F.substring("entry_key", 1, 12), 16, 10).cast("bigint") % 50 == 0
+    rows = similar.usable(t.cache_entries, t.provider_dims).withColumn("asks", F.coalesce(asks, F.lit(False)))
+    return similar.with_copies(rows, 5).select("provider_ns", "entry_key", "near", F.round("cosine", 5).alias("cosine"))
