@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxspark.llm import handwritten, secrets, similar, splitting
+from ctxspark.llm import handwritten, mixing, packing, secrets, similar, sizes, splitting
 from ctxspark.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,29 @@ def p5_neighbours(t: Tables) -> DataFrame:
     asks = F.conv(F.substring("entry_key", 1, 12), 16, 10).cast("bigint") % 50 == 0
     rows = similar.usable(t.cache_entries, t.provider_dims).withColumn("asks", F.coalesce(asks, F.lit(False)))
     return similar.with_copies(rows, 5).select("provider_ns", "entry_key", "near", F.round("cosine", 5).alias("cosine"))
+
+
+@query
+def p6_packing(t: Tables) -> DataFrame:
+    """Every document in a container of every capacity."""
+    return packing.packed(sizes.sized(t.documents).select("doc_id", "tokens").dropDuplicates(["doc_id"]), t.pack_limits)
+
+
+@query
+def p6_fill(t: Tables) -> DataFrame:
+    """Containers, tokens and fill by capacity."""
+    by = p6_packing(t).groupBy("limit_id", "container").agg(F.sum("tokens").alias("used"), F.count("*").alias("items"))
+    sums = by.groupBy("limit_id").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("most"), F.max("items").alias("most_items"))
+    return sums.join(t.pack_limits, "limit_id").withColumn("fill", F.round(F.col("tokens") / F.col("containers") / F.col("capacity_tokens"), 6))
+
+
+@query
+def p7_drawn(t: Tables) -> DataFrame:
+    """The drawn texts, with how often each is taken."""
+    return mixing.drawn(mixing.once_per_text(sizes.sized(t.documents)), t.mix_targets)
+
+
+@query
+def p7_shares(t: Tables) -> DataFrame:
+    """The share of all tokens that each source reached."""
+    return mixing.shares(p7_drawn(t), t.mix_targets)
