@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxspark.llm import handwritten, mixing, packing, secrets, similar, sizes, splitting
+from ctxspark.llm import handwritten, mixing, packing, secrets, sentences, similar, sizes, splitting
 from ctxspark.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,16 @@ def p7_drawn(t: Tables) -> DataFrame:
 def p7_shares(t: Tables) -> DataFrame:
     """The share of all tokens that each source reached."""
     return mixing.shares(p7_drawn(t), t.mix_targets)
+
+
+@query
+def p8_found(t: Tables) -> DataFrame:
+    """Sentences of all documents."""
+    return sentences.sentences(t.documents)
+
+
+@query
+def p8_lengths(t: Tables) -> DataFrame:
+    """Number and mean length of sentences by language tag of the document."""
+    spans = sentences.sentences(t.documents).join(t.documents.select("doc_id", F.lower("lang").alias("lang")).dropDuplicates(["doc_id"]), "doc_id")
+    return spans.groupBy("lang").agg(F.count("*").alias("sentences"), F.round(F.avg(F.col("end_char") - F.col("start_char")), 4).alias("mean_chars"))

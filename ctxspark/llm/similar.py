@@ -22,7 +22,7 @@ from ctxspark.session import materialise
 PROJECTED, SEED = 8, 20240607
 #: Rows per namespace that the kd-tree is fitted on; every row is indexed.
 SAMPLE = 20_000
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
 #: Probability with which the stopping test keeps a true neighbour.
 CONFIDENCE_Z = 3.1
 
@@ -137,7 +137,7 @@ def blocks_of(rows: DataFrame, k: int, floor: float) -> DataFrame:
                 yield part.assign(leaf=leaves_of(np.stack(part["at"].to_numpy()), trees[ns]))
 
     placed = materialise(rows.mapInPandas(assign, "provider_ns string, entry_key string, unit binary, at array<float>, asks boolean, leaf long"))
-    sizes = placed.groupBy("provider_ns", "leaf").agg(F.ceil(F.count("*") / (2 * BLOCK_ROWS)).alias("_parts"))
+    sizes = placed.groupBy("provider_ns", "leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_parts"))
     salted = placed.join(sizes, ["provider_ns", "leaf"]).withColumn(
         "block", F.concat_ws("/", "leaf", F.pmod(F.xxhash64("entry_key"), F.col("_parts")).cast("string"))).drop("_parts", "leaf")
     bound, widest = chi_square_bound(), math.sqrt(max(0.0, 2 - 2 * floor))
@@ -177,25 +177,23 @@ def most_similar(rows: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
                       F.lit(0.0), lambda s, x: s + x * x)
     reach = F.greatest("most", "most_b")
     near = ends.join(other, "provider_ns").filter((F.col("block") < F.col("block_b")) & (reach >= 0) & (F.sqrt(gap) <= reach))
+    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), "block"), F.struct(F.lit(1).alias("side"), F.col("block_b").alias("block")))).alias("_s")
+    sides = near.select("provider_ns", F.concat_ws(":", "block", "block_b").alias("pair"), side).select("provider_ns", "pair", "_s.side", "_s.block")
     wide = blocks.select("provider_ns", "block", "keys", "asks", "units", "ats", "reach", "n", "lo", "hi")
-    left = near.select("provider_ns", "block", "block_b").join(wide, ["provider_ns", "block"])
-    right = wide.select("provider_ns", *[F.col(c).alias(c + "_b") for c in wide.columns[1:]])
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                a, b = (np.frombuffer(x, dtype=np.float32).reshape(n, -1) for x, n in ((r.units, r.n), (r.units_b, r.n_b)))
-                for u, v, ku, kv, at, rc, asks, lo, hi in (
-                    (a, b, r.keys, r.keys_b, r.ats, r.reach, r.asks, r.lo_b, r.hi_b), (b, a, r.keys_b, r.keys, r.ats_b, r.reach_b, r.asks_b, r.lo, r.hi)):
-                    p = np.frombuffer(at, dtype=np.float32).reshape(len(u), -1)
-                    off = np.maximum(np.maximum(np.asarray(lo) - p, p - np.asarray(hi)), 0)
-                    go = np.flatnonzero((np.linalg.norm(off, axis=1) <= np.frombuffer(rc, dtype=np.float32)) & np.frombuffer(asks, dtype=bool))
-                    if len(go):
-                        i, j, c = best(u[go], v, k, floor, False)
-                        yield pd.DataFrame({"provider_ns": r.provider_ns, "entry_key": np.asarray(ku)[go[i]], "near": np.asarray(kv)[j], "cosine": c})
-
-    pairs = left.join(right, ["provider_ns", "block_b"])
-    far = pairs.repartition(F.xxhash64("provider_ns", "block", "block_b")).mapInPandas(verify, FOUND)
+    def verify(both: pd.DataFrame) -> pd.DataFrame:
+        x, y = sorted(both.itertuples(index=False), key=lambda r: r.side)
+        out = [pd.DataFrame({"provider_ns": [], "entry_key": [], "near": [], "cosine": []})]
+        for r, other_ in ((x, y), (y, x)):
+            u, v, p = (np.frombuffer(m, dtype=np.float32).reshape(n, -1) for m, n in ((r.units, r.n), (other_.units, other_.n), (r.ats, r.n)))
+            off = np.maximum(np.maximum(np.asarray(other_.lo) - p, p - np.asarray(other_.hi)), 0)
+            go = np.flatnonzero((np.linalg.norm(off, axis=1) <= np.frombuffer(r.reach, dtype=np.float32)) & np.frombuffer(r.asks, dtype=bool))
+            if len(go):
+                i, j, c = best(u[go], v, k, floor, False)
+                out.append(pd.DataFrame({"provider_ns": r.provider_ns, "entry_key": np.asarray(r.keys)[go[i]], "near": np.asarray(other_.keys)[j], "cosine": c}))
+        return pd.concat(out)
+
+    far = sides.join(wide, ["provider_ns", "block"]).groupBy("provider_ns", "pair").applyInPandas(verify, FOUND)
     order = Window.partitionBy("provider_ns", "entry_key").orderBy(F.desc("cosine"), "near")
     return own.unionByName(far).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
