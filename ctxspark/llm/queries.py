@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxspark.llm import handwritten, mixing, packing, secrets, sentences, similar, sizes, splitting
+from ctxspark.llm import broken, handwritten, mixing, packing, secrets, sentences, similar, sizes, splitting
 from ctxspark.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,21 @@ def p8_lengths(t: Tables) -> DataFrame:
     """Number and mean length of sentences by language tag of the document."""
     spans = sentences.sentences(t.documents).join(t.documents.select("doc_id", F.lower("lang").alias("lang")).dropDuplicates(["doc_id"]), "doc_id")
     return spans.groupBy("lang").agg(F.count("*").alias("sentences"), F.round(F.avg(F.col("end_char") - F.col("start_char")), 4).alias("mean_chars"))
+
+
+@query
+def p3_found(t: Tables) -> DataFrame:
+    """Files that break the grammar of their language."""
+    return broken.broken(t.chunks, t.ext_langs).select("repo_id", "path")
+
+
+@query
+def p3_rates(t: Tables) -> DataFrame:
+    """Share of such files by repository and language."""
+    return broken.rates(t.chunks, t.ext_langs)
+
+
+@query
+def p3_repairs(t: Tables) -> DataFrame:
+    """Least number of edits and kind of damage of each such file."""
+    return broken.broken(t.chunks, t.ext_langs, 2)
