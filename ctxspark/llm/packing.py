@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 #: Length classes of the least-squares step, and the deepest combination it enumerates.
 CLASSES, DEPTH = 32, 3
 SALTS = 64
+#: Longest run of equal containers in one row of the plan; each is spread to one row per container where it is joined.
+RUN = 4096
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -159,26 +161,15 @@ def packed(items: DataFrame, limits: DataFrame) -> DataFrame:
         taken: dict[int, int] = defaultdict(int)
         for lengths, often in plan(histogram, cap):
             for n in lengths:
-                slots.append((n, taken[n], often, base))
+                slots += [(n, taken[n] + i, min(RUN, often - i), base + i) for i in range(0, often, RUN)]
                 taken[n] += often
             base += often
         wide = spark.createDataFrame(pd.DataFrame(slots, columns=["size", "first", "often", "base"]), "size int, first long, often long, base long")
         rank = F.row_number().over(Window.partitionBy("size", "_salt").orderBy("doc_id", "piece")) - 1
         ranked = salted.withColumn("_rank", rank).join(offsets, ["size", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_offset"))
-        runs = wide.groupBy("size").agg(F.array_sort(F.collect_list(F.struct("first", "often", "base"))).alias("_runs"))
-        at = F.pandas_udf(_slot, "long")(F.col("size"), F.col("_rank"), F.col("_runs"))
-        one = ranked.join(runs, "size").select(F.lit(limit["limit_id"]).alias("limit_id"), "doc_id", "piece", F.col("size").alias("tokens"), at.alias("container"))
+        each = wide.select("size", F.posexplode(F.sequence(F.col("first"), F.col("first") + F.col("often") - 1)).alias("_i", "_rank"), "base")
+        each = each.select("size", "_rank", (F.col("base") + F.col("_i")).alias("container"))
+        one = ranked.join(each, ["size", "_rank"]).select(F.lit(limit["limit_id"]).alias("limit_id"), "doc_id", "piece", F.col("size").alias("tokens"), "container")
         out = one if out is None else out.unionByName(one)
     return spark.createDataFrame([], "limit_id int, doc_id long, piece int, tokens int, container long") if out is None else out
 
-
-def _slot(size: pd.Series, rank: pd.Series, runs: pd.Series) -> pd.Series:
-    """The container of each rank: the run of its length that it falls into, counted from the run's first container."""
-    out, known = [], {}
-    for n, r, one in zip(size, rank, runs):
-        if n not in known:
-            known[n] = np.array([x["first"] for x in one]), one
-        first, rows = known[n]
-        x = rows[int(np.searchsorted(first, r, side="right")) - 1]
-        out.append(x["base"] + r - x["first"])
-    return pd.Series(out, dtype="int64")
