@@ -1,0 +1,275 @@
+"""Operators on small fixtures: defined results for nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from ctxspark.functions.syntax import js_boundaries, source_imports, syntax_spans
+from ctxspark.functions.text import bucket_of, extension, fence_language, is_blank, keywords_of, lines_of, name_extension, words_of
+from ctxspark.operators import budget, chunking, embedding, filters, graph, ranking, render, rerank, sources_syntax, usage, vector_cache
+from ctxspark.plans import pipeline
+from ctxspark.schema import ChunkOptions
+from ctxspark.sources.tables import latest_chunks
+
+
+def rows(df, *order):
+    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
+
+
+def test_lines(spark):
+    df = spark.createDataFrame([("a\nb\n",), ("a\nb",), ("a\nb\n\n",), ("",), ("\n",), (None,)], "t string")
+    assert [r[0] for r in df.select(lines_of(F.col("t"))).collect()] == [["a", "b"], ["a", "b"], ["a", "b", ""], [""], [""], None]
+
+
+def test_text_functions(spark):
+    df = spark.createDataFrame([("src/A.TS",), (".gitignore",), ("Makefile",), (None,)], "p string")
+    got = df.select(extension(F.col("p")), name_extension(F.col("p")), fence_language(F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [(".ts", ".ts", "typescript"), (".gitignore", "", ""), ("", "", ""), (None, None, "")]
+    one = spark.createDataFrame([("fix the loginUser bug in Auth_v2",)], "t string")
+    assert one.select(keywords_of(F.col("t"))).first()[0] == ["loginuser", "login", "user", "auth_v2"]
+    assert one.select(words_of(F.lit(None).cast("string"))).first()[0] == []
+    blanks = spark.createDataFrame([(" \u2003\ufeff\n", True), ("x", False), ("", True), (None, True)], "t string, b boolean")
+    assert all(a == b for a, b in blanks.select(is_blank(F.col("t")), "b").collect())
+
+
+def fnv(word):
+    h = 2166136261
+    for c in word:
+        h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+    return (2**32 - h if h >= 2**31 else h) % 1024
+
+
+def test_buckets_follow_the_hash(spark):
+    words = ["a", "login", "user_42", "x" * 200]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r[0] for r in df.select(bucket_of(F.col("w"))).collect()] == [fnv(w) for w in words]
+
+
+@pytest.mark.parametrize("n", [1, 20, 21, 57, 300])
+def test_windows_cover_every_line(spark, n):
+    text = "\n".join(f"line {i}" for i in range(1, n + 1))
+    df = spark.createDataFrame([(1, text, 9)], "id int, text string, seq int")
+    got = rows(chunking.chunked(df, ChunkOptions(20, 20, 5)).select("start_line", "end_line", "chunk_text"), "start_line")
+    assert got[0][0] == 1 and got[-1][1] == n
+    assert all(b[0] <= a[1] + 1 for a, b in zip(got, got[1:])) and all(e - s < 20 for s, e, _ in got)
+    assert all(t == "\n".join(text.split("\n")[s - 1:e]) for s, e, t in got)
+
+
+def test_chunks_of_odd_texts(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "x\n" * 3)], "id int, text string")
+    assert rows(chunking.chunked(df).select("id", "end_line", "chunk_text"), "id") == [(2, 1, ""), (3, 3, "x\n" * 3)]
+    assert chunking.chunked(df.limit(0)).count() == 0
+
+
+def test_blank_chunks(spark):
+    df = spark.createDataFrame([("a", 0, "x"), ("a", 1, " "), ("b", 0, " "), ("c", 0, ""), ("c", 1, " \n")], "f string, seq int, text string")
+    assert rows(chunking.without_blank(df, ["f"]).select("f", "seq"), "f", "seq") == [("a", 0), ("b", 0), ("c", 0), ("c", 1)]
+
+
+def test_segments_are_packed_in_order(spark):
+    segs = [(1, 10), (11, 15), (16, 40), (41, 42), (43, 90)]
+    df = spark.createDataFrame([(segs,), ([],)], "s array<struct<s:int,e:int>>")
+    got = df.select(chunking.packed_segments(F.col("s"), 20).alias("p")).collect()
+    assert [tuple(x) for x in got[0]["p"]] == [(1, 15), (16, 40), (41, 42), (43, 90)] and got[1]["p"] == []
+
+
+def test_pieces_and_files_round_trip(spark):
+    text = "".join(f"row {i}\n" for i in range(50))
+    df = spark.createDataFrame([("f", text), ("g", "y" * 50_000)], "f string, text string")
+    cut = chunking.token_capped(df, chunking.even_pieces(F.col("text"), 100), F.length("text"), 100)
+    assert all(len(r.text) <= 100 for r in cut.collect())
+    assert "".join(r.text for r in cut.filter("f = 'f'").orderBy("piece").collect()) == text
+    lines = text.split("\n")[:-1]
+    parts = [("f", a, b, "\n".join(lines[a - 1:b]) + ("\n" if b == 50 else "")) for a, b in ((1, 20), (16, 35), (31, 50))]
+    got = chunking.assembled_files(spark.createDataFrame(parts, "f string, start_line int, end_line int, text string"), ["f"])
+    assert got.first()["text"] == text
+
+
+def test_latest_chunk_wins(spark):
+    df = spark.createDataFrame([(1, "old", 1, "x"), (1, "new", 2, "x"), (None, "z", 3, "x"), (2, None, None, "x")], "chunk_id long, text string, loaded_at int, r string")
+    assert rows(latest_chunks(df).select("chunk_id", "text"), "chunk_id") == [(1, "new"), (2, None)]
+
+
+def test_admission(spark):
+    df = spark.createDataFrame([("a.py", 1), ("b.PNG", 5), ("node_modules/x.js", 5), ("c.ts", 0), ("d.ts", 600_000), (".gitignore", 3), (None, 3)], "p string, n long")
+    assert [r.p for r in df.filter(filters.admitted(F.col("p"), F.col("n"))).collect()] == ["a.py", ".gitignore"]
+    texts = spark.createDataFrame([(b"ab",), (b"a\x00b",), (None,), (b"x" * 8000 + b"\x00",)], "c binary")
+    assert [r[0] for r in texts.select(filters.looks_textual(F.col("c"))).collect()] == [True, False, True, True]
+
+
+def test_ignore_rules(spark):
+    paths = ["build/a.js", "src/build/b.js", "x.log", "keep.log", "docs/a/b/t.md", "src/K.ts", "a/b.txt"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    rules = ["# note", "", "build/", "*.log", "!keep.log", "docs/**/t.md", "/k.ts", "a/?.txt"]
+    assert [r.p for r in df.filter(~filters.ignored(F.col("p"), rules)).collect()] == ["keep.log", "src/K.ts"]
+
+
+def test_pins_with_nulls(spark):
+    files = spark.createDataFrame([("a",), ("b",), (None,)], "path string")
+    pins = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "path string, n int")
+    assert rows(filters.without_pins(files, pins, ["path"]), "path") == [(None,), ("b",)]
+    assert rows(filters.only_pins(files, pins, ["path"])) == [("a",)]
+
+
+def test_embedding_forms_agree(spark):
+    df = spark.createDataFrame([(1, "fix the login authentication bug"), (2, "render the report"), (3, None), (4, "the of"), (5, "login login user")], "id int, text string")
+    sparse = {(r.id, r.bucket): r.weight for r in embedding.sparse_vectors(df, ["id"]).collect()}
+    for r in df.filter("text IS NOT NULL").select("id", embedding.text_vector(F.col("text")).alias("v")).collect():
+        assert all(abs(sparse[r.id, b] - w) < 1e-12 for b, w in r.v.items()) and sum(k[0] == r.id for k in sparse) == len(r.v)
+    got = dict(rows(embedding.scored_by_words(df, ["id"], "login bug")))
+    assert got[1] > 0.5 and got[2] == 0 and got[3] == 0 and got[4] == 0 and got[5] > 0
+
+
+def test_cosine(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 2.0])], "a array<double>, b array<double>")
+    assert [round(r[0], 6) for r in df.select(embedding.cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, 0.0]
+    with pytest.raises(Exception, match="different lengths"):
+        spark.createDataFrame([([1.0], [1.0, 1.0])], df.schema).select(embedding.cosine(F.col("a"), F.col("b"))).collect()
+    stored = spark.createDataFrame([([3.0, 4.0],), (None,), ([0.0, 0.0],)], "v array<double>")
+    assert [r[0] for r in stored.select(embedding.cosine_with([6.0, 8.0])("v")).collect()] == [1.0, None, 0.0]
+
+
+def test_cache(spark, tmp_path):
+    cache = spark.createDataFrame(
+        [("r", 2, "fake", "k", [1.0], 1), ("q", 2, "fake", "k", [2.0], 2), ("r", 1, "fake", "old", [1.0], 3), ("r", 2, "other", "k", [9.0], 3), ("r", 2, "fake", "n", None, 3)],
+        "repo_id string, cache_version int, provider_ns string, entry_key string, vector array<double>, saved_at int")
+    live = vector_cache.live_entries(cache)
+    assert rows(live.select("provider_ns", "entry_key", "vector"), "provider_ns") == [("fake", "k", [2.0]), ("other", "k", [9.0])]
+    texts = spark.createDataFrame([("x",), ("x",), (None,)], "text string")
+    assert vector_cache.misses(texts, live, "fake").count() == 1
+    new = vector_cache.misses(texts, live, "fake").withColumn("vector", F.array(F.lit(1.0)))
+    vector_cache.save_misses(new, str(tmp_path / "c"), "fake")
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    assert vector_cache.misses(texts, stored, "fake").count() == 0 and vector_cache.misses(texts, stored, "other").count() == 1
+
+
+EDGES = "repo_id string, src string, dst string"
+
+
+def test_import_graph(spark):
+    edges = spark.createDataFrame([("r", "a", "b"), ("r", "b", "a"), ("r", "a", "a"), ("r", None, "b"), ("s", "a", "c")], EDGES)
+    assert rows(graph.undirected(edges, ["repo_id"]), "repo_id", "src") == [("r", "a", "b"), ("r", "b", "a"), ("s", "a", "c"), ("s", "c", "a")]
+    assert rows(graph.degrees(edges, ["repo_id"]), "repo_id", "path")[0] == ("r", "a", 1)
+
+
+def test_resolution_and_aliases(spark):
+    files = [("src/calc.ts", 'import { x } from "./math";\nconst y = require("@/util");\n// from "./nope"'), ("src/math.ts", ""), ("src/util/index.ts", ""), ("py/main.py", "import os\nfrom py.help import y\n"), ("py/help.py", "")]
+    df = spark.createDataFrame([("r", *f) for f in files], "repo_id string, path string, text string")
+    specs = graph.extracted_imports(df, ["repo_id", "path"])
+    alias = spark.createDataFrame([("r", "@/", "", "src/*", ".", 1)], "repo_id string, prefix string, suffix string, target string, base_url string, ord int")
+    got = graph.resolved_imports(graph.with_aliases(specs, alias, ["repo_id"]), df, ["repo_id"])
+    assert rows(got.select("path", "dst"), "path", "dst") == [("py/main.py", "py/help.py"), ("src/calc.ts", "src/math.ts"), ("src/calc.ts", "src/util/index.ts")]
+
+
+def test_closure_and_components(spark):
+    chain = [("r", f"n{i:03}", f"n{i + 1:03}") for i in range(40)] + [("r", "n040", "n038"), ("s", "x", "y")]
+    edges = spark.createDataFrame(chain, EDGES)
+    groups = rows(graph.components(edges, ["repo_id"]), "repo_id", "path")
+    assert {g[2] for g in groups if g[0] == "r"} == {"n000"} and len(groups) == 43
+    closure = graph.reexport_closure(spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), ("r", "c", "a")], EDGES), ["repo_id"])
+    assert rows(closure, "src", "dst") == [("r", x, y) for x in "abc" for y in "abc" if x != y]
+    barrel = graph.with_barrels(spark.createDataFrame([("r", "user", "a")], EDGES), closure.filter("src = 'a'"), ["repo_id"])
+    assert ("r", "user", "c") in rows(barrel)
+
+
+def test_syntax_imports_ignore_comments_and_strings(spark):
+    js = 'import a from "./a";\n// require("./no")\nconst s = "require(\'./no\')";\nexport * from "./b";\nconst c = require("./c"); import("./d")'
+    assert source_imports("x.ts", js) == (["./a", "./c", "./d"], ["./b"])
+    assert source_imports("p.py", "from . import h\nfrom ..x import y\nimport a.b\ns = 'import no'") == (["./h", "../x", "a/b"], [])
+    assert source_imports("p.py", "def (") == ([], [])
+    df = spark.createDataFrame([("r", "x.ts", js), ("r", "n.ts", None)], "repo_id string, path string, text string")
+    assert rows(sources_syntax.syntax_imports(df).filter("reexport").select("spec")) == [("./b",)]
+
+
+def test_syntax_chunks_keep_functions_whole():
+    text = "\n\n".join(f"export function f{i}() {{\n" + "  work();\n" * 28 + "}" for i in range(8))
+    bounds = js_boundaries(text)
+    spans = syntax_spans("a.ts", text, 40, 5)
+    assert len(bounds) == 8 and spans[0][0] == 1 and spans[-1][1] == text.count("\n") + 1
+    assert all(any(s <= b and e <= t for s, t in spans) for b, e, _ in bounds)
+    big = "class A:\n" + "".join(f"    @deco\n    def m{i}(self):\n" + "        x = 1\n" * 10 for i in range(10))
+    members = syntax_spans("a.py", big, 30, 5)
+    assert len(members) > 3 and all(b[0] == a[1] + 1 for a, b in zip(members, members[1:]))
+
+
+def greedy(items, limit):
+    used, taken = 0, []
+    for key, tokens in items:
+        if used + tokens <= limit:
+            used += tokens
+            taken.append((key, used))
+    return taken
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_budget_is_the_greedy_fold(spark, seed):
+    rng = random.Random(seed)
+    data = [(q, i, rng.choice([0, 1, 3, 40, 70, 200]), 100 if q else 0, rng.randint(0, 9) / 10) for q in range(3) for i in range(60)]
+    df = spark.createDataFrame(data, "q int, id int, tokens int, budget int, score double")
+    got = budget.selected(df, ["q"], ["id"], [("score", "desc"), ("id", "asc")])
+    mine = sorted((r.q, r.id, r.cum_tokens) for r in got.collect())
+    want = sorted((q, i, c) for q in (1, 2) for i, c in greedy([(d[1], d[2]) for d in sorted(data, key=lambda d: (-d[4], d[1])) if d[0] == q], 100))
+    assert mine == want
+
+
+def test_budget_edges(spark):
+    df = spark.createDataFrame([(1, 1, None, 10, 1.0), (1, 2, 11, 10, 0.9), (1, 3, 4, 10, 0.5)], "q int, id int, tokens int, budget int, score double")
+    assert rows(budget.selected(df, ["q"], ["id"], [("score", "desc")]).select("id", "cum_tokens")) == [(3, 4)]
+    assert budget.selected(df.limit(0), ["q"], ["id"], [("score", "desc")]).count() == 0
+    left = budget.after_pins(spark.createDataFrame([(1, 30)], "q int, tokens int"), spark.createDataFrame([(1, 20), (2, 20)], "q int, budget int"), ["q"])
+    assert rows(left, "q") == [(1, 0), (2, 20)]
+
+
+SCORED = "query_id long, repo_id string, path string, seq int, chunk_id long, semantic_score double"
+
+
+def test_ranking(spark):
+    df = spark.createDataFrame([(1, "r", "a", 0, 1, 0.9), (1, "r", "b", 0, 2, 0.8), (1, "r", "c", 0, 3, 0.8), (1, "r", "d", 0, 4, 0.1), (1, "r", "e", 0, 5, float("nan")), (1, "r", "f", 0, 6, None)], SCORED)
+    assert [r[2] for r in rows(ranking.seed_files(df), "seed_rank")] == ["a", "b", "c"]
+    edges = spark.createDataFrame([("r", "d", "a"), ("r", "a", "d"), ("r", "d", "b"), ("r", "b", "d")], EDGES)
+    got = {r.path: (r.connected, r.bonus) for r in ranking.structural_bonus(df, edges).collect()}
+    assert got["d"] == (["a", "b"], 0.05) and got["c"] == ([], 0.0)
+    assert [r[0] for r in rows(ranking.ranked(df, "semantic_score", 2).select("path"), "path")] == ["a", "b"]
+
+
+def test_rerank(spark):
+    ranked = spark.createDataFrame([(1, "x:1-2", 1), (1, "x:1-2", 2), (1, "y:1-2", 3), (1, "z:1-2", 4)], "query_id long, id string, rank int")
+    verdicts = spark.createDataFrame([(1, "x:1-2", True, "a", 1), (1, "x:1-2", False, "b", 2), (1, "z:1-2", False, "late", 3)], "query_id long, id string, keep boolean, reason string, ord int")
+    got = rows(rerank.with_verdicts(ranked, verdicts, 3).select("rank", "kept", "llm_reason"), "rank")
+    assert got == [(1, False, "b"), (2, False, "b"), (3, True, None), (4, True, None)]
+    judged = rerank.keyword_verdicts(spark.createDataFrame([("fix login", "loginUser()"), ("fix login", None)], "task string, text string"))
+    assert [(r.keep, r.reason) for r in judged.collect()] == [(True, "shares keyword(s): login"), (False, "no keyword overlap with the task")]
+    model = rerank.model_verdicts(spark.createDataFrame([(1, "x", "t", "u")], "query_id long, id string, task string, text string"), lambda b: b.assign(keep=True, reason="ok"))
+    assert rows(model) == [(1, "x", True, "ok")]
+
+
+def test_bundle(spark):
+    chosen = spark.createDataFrame(
+        [(1, 7, "r", "src/a.py", 0, 1, 2, "x = 1\n", True, 0.5005, 0.4504, 0.05, ["b.py"], None, False, 1), (1, 8, "r", "A.md", 0, 3, 4, "hi", False, float("inf"), 0.0, 0.0, [], None, True, 0)],
+        "query_id long, chunk_id long, repo_id string, path string, seq int, start_line int, end_line int, text string, is_whole_file boolean, score double, semantic_score double, "
+        "structural_bonus double, connected_to array<string>, llm_reason string, pinned boolean, rank int")
+    totals = spark.createDataFrame([(1, "t", "r", 100, 9, 2, 1), (2, "u", "r", 0, 0, 0, 0)], "query_id long, task string, repo string, budget long, tokens_used long, n_selected long, n_skipped long")
+    full, none = [r.bundle for r in render.bundles(chosen, totals, ["query_id"], render.exact_fixed, "UNICODE").orderBy("query_id").collect()]
+    assert "- `A.md` (lines 3-4) — pinned (always included)\n- `src/a.py` (lines 1-2) — score 0.500 (semantic 0.450 + connected to `b.py`)" in full
+    assert full.index("### A.md") < full.index("### src/a.py") and "_lines 3-4_" in full and "```python\nx = 1\n" in full and full.endswith("```\n")
+    assert none.endswith("_No chunks fit within the given token budget._\n")
+    dropped = spark.createDataFrame([("a.py", 1, 2, "no overlap")], "path string, start_line int, end_line int, reason string")
+    assert render.excluded_lines(dropped).first()["line"] == "- `a.py` (lines 1-2) — no overlap"
+
+
+def test_usage(spark):
+    log = spark.createDataFrame(
+        [(1, "run", 1, 10, 100, None), (1, "run", 2, 30, 100, None), (2, "feedback", 1, None, None, " Hit"), (3, "feedback", 1, None, None, "??"), (4, None, 1, 5, 5, "miss")],
+        "entry_id long, entry_type string, received_at int, tokens_used long, budget_tokens long, outcome string").withColumn("logged_at", F.col("received_at"))
+    assert rows(usage.summary(usage.latest_entries(log))) == [(1, 30.0, 100.0, 1, 0, 1.0)]
+    assert rows(usage.summary(log.limit(0))) == [(0, None, None, 0, 0, None)]
+
+
+def test_pipeline(spark):
+    files = spark.createDataFrame([("r", "src/login.ts", "export function loginUser() { return token; }"), ("r", "src/report.ts", "export function renderReport() {}"), ("r", "src/empty.ts", ""), ("s", "x.ts", "login")], "repo_id string, path string, text string")
+    tasks = spark.createDataFrame([(1, "fix the loginUser bug", "r", 50), (2, "loginUser", None, 50), (3, "nothing here", "r", 50)], "query_id long, task string, repo_id string, budget long")
+    bundles, chosen = pipeline.compiled(files, tasks, spark.createDataFrame([("r", "src/login.ts", "src/report.ts"), ("r", "src/report.ts", "src/login.ts")], EDGES))
+    assert [r[0] for r in rows(chosen.filter("query_id = 1").select("path"), "path")][0] == "src/login.ts"
+    text = {r.query_id: r.bundle for r in bundles.collect()}
+    assert "src/login.ts" in text[1] and "No chunks fit" in text[3]
