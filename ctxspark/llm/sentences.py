@@ -39,15 +39,15 @@ THAI_GAP = re.compile(rf"(?<=[{THAI}ฯๆ])[ \t\n\r ]+(?=[{THAI}])")
 SMALL = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*(?=\s|[,.;:!?)\]»”\"…]+(?:\s|$)|$)")
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """``(start, end)`` of the blocks of a text, white space at their ends left out."""
-    out: list[tuple[int, int]] = []
-    at, fence, start, last = 0, "", -1, -1
+def blocks(text: str) -> list[tuple[int, int, bool]]:
+    """``(start, end, is a heading)`` of the blocks of a text, white space at their ends left out."""
+    out: list[tuple[int, int, bool]] = []
+    at, fence, start, last, item = 0, "", -1, -1, False
 
-    def close() -> None:
+    def close(heading: bool = False) -> None:
         nonlocal start
         if start >= 0 and last > start:
-            out.append((start, last))
+            out.append((start, last, heading))
         start = -1
 
     for line in text.split("\n"):
@@ -64,11 +64,13 @@ def blocks(text: str) -> list[tuple[int, int]]:
         elif h := HEADING.match(line):
             close()
             if h[2].strip():
-                out.append((at + h.start(2), at + h.start(2) + len(h[2].rstrip())))
-        elif RULE.match(line) and (start < 0 or line.strip()[0] in "=-" and "*" not in line):
-            close()
+                out.append((at + h.start(2), at + h.start(2) + len(h[2].rstrip()), True))
+        elif RULE.match(line) and (start < 0 or line.strip()[0] in "=-"):
+            close(start >= 0 and not item)
+            item = False
         else:
             m = ITEM.match(line)
+            item = bool(m) or item and start >= 0
             if m:
                 close()
                 lead = m.end()
@@ -228,12 +230,12 @@ def found_blocks(documents: DataFrame) -> DataFrame:
             rows = []
             for doc, text in zip(batch.doc_id, batch.text):
                 spans = blocks(text)
-                firsts = [first_token(text[s:s + 80]) for s, _ in spans] + [""]
-                for n, (s, e) in enumerate(spans):
+                firsts = [first_token(text[s:s + 80]) for s, _, _ in spans] + [""]
+                for n, (s, e, heading) in enumerate(spans):
                     block = text[s:e]
                     tail = block.rstrip(CLOSERS)
                     last = last_token(tail[:-1]) if tail.endswith(".") and not tail.endswith("..") else ""
-                    rows.append((doc, s, e, firsts[n], last, firsts[n + 1], [dict(zip(("end", "next", "kind", "before", "after"), (s + c[0], s + c[1], *c[2:]))) for c in candidates(block)]))
+                    rows.append((doc, s, e, firsts[n], last, firsts[n + 1], [dict(zip(("end", "next", "kind", "before", "after"), (s + c[0], s + c[1], *c[2:]))) for c in (candidates(block) if not heading else ())]))
             yield pd.DataFrame(rows, columns=["doc_id", "start_char", "end_char", "first", "last", "following", "cands"])
 
     rows = documents.filter("doc_id IS NOT NULL AND length(trim(text)) > 0").select("doc_id", "text").dropDuplicates(["doc_id"])

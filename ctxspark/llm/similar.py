@@ -48,6 +48,8 @@ def usable(entries: DataFrame, dims: DataFrame, version: int = 2) -> DataFrame:
                 m /= np.maximum(np.abs(m).max(axis=1, keepdims=True), 1e-300)
                 norm = np.linalg.norm(m, axis=1)
                 ok = norm > 0
+                if not ok.any():
+                    continue
                 u = (m[ok] / norm[ok, None]).astype(np.float32)
                 at = u @ np.random.default_rng(SEED).standard_normal((n, PROJECTED)).astype(np.float32)
                 yield pd.DataFrame({"provider_ns": part.provider_ns[ok], "entry_key": part.entry_key[ok], "unit": [x.tobytes() for x in u], "at": list(at)})
