@@ -70,6 +70,8 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
             item = False
         else:
             m = ITEM.match(line)
+            if m and start >= 0 and not item and (n := re.search(r"\d+", m[0])) and n[0] != "1":
+                m = None  # only a list that starts with 1 may follow a paragraph's line
             item = bool(m) or item and start >= 0
             if m:
                 close()
@@ -300,7 +302,13 @@ def sentences(documents: DataFrame) -> DataFrame:
         "doc_id", "start_char", F.col("c.end").alias("end"), F.col("c.next").alias("next"), F.col("c.kind").alias("kind"), "c.before", "c.after")
     good = found.filter("last <> '' AND following <> ''").select(F.col("last").alias("before"), F.col("following").alias("after"), F.xxhash64("doc_id", "end_char").alias("_h"))
     bad = stops.filter("kind = -1").select("before", "after", F.xxhash64("doc_id", "end").alias("_h"))
-    pick = lambda df: df.orderBy("_h").limit(TRAINING_ROWS // 2)
+    half = TRAINING_ROWS // 2
+
+    def pick(df: DataFrame) -> DataFrame:
+        """At most half of the training rows, by hash; thinned by count first, so that no task sorts more than about those."""
+        share = min(1.0, 1.5 * half / max(df.count(), 1))
+        return df.filter(F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000).orderBy("_h", "before", "after").limit(half)
+
     labelled = with_features(pick(good), 1).select("x", F.lit(1.0).alias("y")).unionByName(with_features(pick(bad), 0).select("x", F.lit(0.0).alias("y"))).toPandas()
     open_ = stops.filter("kind = 0")
     if len(labelled) and 0 < labelled.y.sum() < len(labelled):
