@@ -127,3 +127,18 @@ def p3_rates(t: Tables) -> DataFrame:
 def p3_repairs(t: Tables) -> DataFrame:
     """Least number of edits and kind of damage of each such file."""
     return broken.broken(t.chunks, t.ext_langs, 2)
+
+
+# Brute force over all pairs of a namespace; on the small tables that DuckDB gets here that is quick.
+SQL["p5_found"] = """
+WITH one AS (
+    SELECT provider_ns, entry_key, any_value(vector) AS v FROM cache_entries JOIN provider_dims USING (provider_ns)
+    WHERE cache_version = 2 AND vector IS NOT NULL AND entry_key IS NOT NULL AND len(vector) = dims
+        AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 GROUP BY 1, 2),
+usable AS (SELECT * FROM one WHERE len(list_filter(v, lambda x: x <> 0)) > 0),
+pair AS (
+    SELECT a.provider_ns, a.entry_key AS k, b.entry_key AS n, round(list_cosine_similarity(a.v, b.v), 6) AS c
+    FROM usable a JOIN usable b ON a.provider_ns = b.provider_ns AND a.entry_key <> b.entry_key),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY provider_ns, k ORDER BY c DESC, n) AS r FROM pair)
+SELECT DISTINCT least(k, n) AS key_a, greatest(k, n) AS key_b FROM ranked WHERE r <= 5 AND c >= 0.85
+"""
