@@ -273,3 +273,16 @@ def test_pipeline(spark):
     assert [r[0] for r in rows(chosen.filter("query_id = 1").select("path"), "path")][0] == "src/login.ts"
     text = {r.query_id: r.bundle for r in bundles.collect()}
     assert "src/login.ts" in text[1] and "No chunks fit" in text[3]
+
+
+def test_pipeline_offers_chunks_without_shared_words(spark):
+    texts = {"a.ts": "login check", "b.ts": "zzz " * 4, "c.ts": "yyy " * 4, "d.ts": "qqq " * 4, "e.ts": "x" * 400}
+    files = spark.createDataFrame([("r", p, t) for p, t in texts.items()] + [("s", "f.ts", "vvv")], "repo_id string, path string, text string")
+    tasks = spark.createDataFrame([(1, "login", "r", 11), (2, "login", "r", 1000), (3, "login", None, 1000), (4, "none", "r", 8)], "query_id long, task string, repo_id string, budget long")
+    edges = spark.createDataFrame([("r", "a.ts", "d.ts"), ("r", "d.ts", "a.ts")], EDGES)
+    bundles, chosen = pipeline.compiled(files, tasks, edges, rerank_top=1)
+    got = {q: [(r.path, r.structural_bonus) for r in sorted(chosen.filter(f"query_id = {q}").collect(), key=lambda r: r.rank)] for q in (1, 2, 3, 4)}
+    assert got[1] == [("a.ts", 0.0), ("d.ts", 0.05), ("b.ts", 0.0)] and got[4] == [("a.ts", 0.0), ("b.ts", 0.0)]
+    assert [p for p, _ in got[2]] == ["a.ts", "d.ts", "b.ts", "c.ts", "e.ts"] and [p for p, _ in got[3]] == ["a.ts", "d.ts", "b.ts", "c.ts", "e.ts", "f.ts"]
+    text = {r.query_id: r.bundle for r in bundles.collect()}
+    assert "(2 skipped" in text[1] and "skipped" not in text[2]
