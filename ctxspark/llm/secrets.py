@@ -12,7 +12,7 @@ import base64
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -64,7 +64,7 @@ def spotter():
 
 
 QUOTED = re.compile(r'"((?:\\.|[^"\\])*)"|\'((?:\\.|[^\'\\])*)\'|`([^`]*)`')
-URL = re.compile(r"([a-zA-Z][\w+.\-]*)://([^\s/\"'@:]*):([^\s/\"'@]+)@[\w.\-\[]")
+URL = re.compile(r"(?<![\w+.\-])(?:(?![a-zA-Z])[\w+.\-])*+([a-zA-Z][\w+.\-]*+)://([^\s/\"'@:]*):([^\s/\"'@]+)@[\w.\-\[]")
 HEADER = re.compile(r"\b(Bearer|Basic)\s+([A-Za-z0-9._~+/=\-]{8,})")
 QUERY = re.compile(r"[?&](?:access_token|api_?key|auth_?token|token|secret|sig|signature|password|key)=([^\s&\"'`#]+)", re.I)
 CALL = re.compile(r"""(?i)(?:login|log_in|sign_?in|authenticate|connect|session|auth|password|credentials?)\(\s*["'][^"']*["']\s*,\s*["']([^"'\s]+)["']""")
@@ -118,9 +118,14 @@ def note_secret(value: str) -> bool:
     return bool(re.fullmatch(PREFIXED, v)) or (bool(re.search(r"[A-Za-z]", v) and re.search(r"\d", v)) and bool(re.search(r"[!#$%&*+?@^~]", v) or (randomness(v) > 0.85 and len(v) >= 16 and not HEX.match(v))))
 
 
-def parts_of(rest: str) -> list[tuple[str, int, int]]:
-    """Quoted strings in the rest of a line with their spots; pieces added with ``+`` are one string in several spots."""
-    return [(m[1] or m[2] or m[3] or "", m.start() + 1, m.end() - 1) for m in QUOTED.finditer(rest)]
+def parts_from(line: str, at: int, macro: bool) -> list[tuple[str, int, int]]:
+    """The quoted string at ``at`` with its spot, and those added to it with ``+``: one value in several spots."""
+    out: list[tuple[str, int, int]] = []
+    for m in QUOTED.finditer(line, at):
+        if out and not re.fullmatch(r"[\"'`]\s*(?:\+|\.|" + ",|" * macro + r")\s*[\"'`]", line[out[-1][2]:m.start() + 1]):
+            break
+        out.append((m[1] or m[2] or m[3] or "", m.start() + 1, m.end() - 1))
+    return out
 
 
 def line_spots(line: str, plain: bool) -> list[tuple[int, int]]:
@@ -159,24 +164,19 @@ def line_spots(line: str, plain: bool) -> list[tuple[int, int]]:
             v = m[1].rstrip(".,;:)")
             if note_secret(v) and not (any(a <= m.start(1) < b + 1 for a, b in urls) or "://" in v):
                 out.append((m.start(1), m.start(1) + len(v)))
-    for m in re.finditer(r"""["']?([A-Za-z_][\w.\-]*?)["']?\s*(?::\s*[&\w' ]+?=|:=|=>|=|:)\s*(?=["'`\S])""", line):
+    for m in re.finditer(r"""(?<![\w.\-])(?:(?![A-Za-z_])[\w.\-])*+([A-Za-z_][\w.\-]*+)["']?\s*(?::\s*[&\w' ]+?=|:=|=>|=|:)\s*(?=["'`\S])""", line):
         name = m[1]
         if not NAME.search(CAMEL.sub("_", name)):
             continue
-        rest, at = line[m.end():], m.end()
-        macro = rest.startswith("concat!(")
-        if macro or rest[:1] in "\"'`":
-            found = parts_of(rest)
-            pieces = [found[0]] if found else []
-            for p, q in zip(found, found[1:]):
-                if not re.fullmatch(r"[\"'`]\s*(?:\+|\.|" + ",|" * macro + r")\s*[\"'`]", rest[p[2]:q[1]]):
-                    break
-                pieces.append(q)
+        at = m.end()
+        macro = line.startswith("concat!(", at)
+        if macro or line[at:at + 1] in ("", '"', "'", "`"):
+            pieces = parts_from(line, at, macro)
             value = "".join(p[0] for p in pieces)
             if named_secret(value) and not URL.search(value):
-                out += [(at + p[1], at + p[2]) for p in pieces]
+                out += [(a, b) for _, a, b in pieces]
         elif plain:
-            v = re.split(r"\s" if line[at - 1] == "=" else r"\s+[#;]|\s*$", rest, maxsplit=1)[0]
+            v = re.split(r"\s" if line[at - 1] == "=" else r"\s+[#;]|\s*$", line[at:], maxsplit=1)[0]
             if named_secret(v) and not URL.search(v):
                 out.append((at, at + len(v)))
     return out
@@ -200,9 +200,6 @@ def found_spots(text: str, path: str) -> list[tuple[int, int]]:
         b = len(text) if b < 0 else b
         seen = b
         line = text[a:b]
-        if len(line) > 2000:
-            near = max(0, at - a - 300)
-            a, line, seen = a + near, line[near:near + 900], min(b, at + 500)
         if "PRIVATE KEY" in line and (BEGIN.search(line) or END.search(line)):
             spots |= block_spots(text, a, line)
         spots |= {(a + x, a + y) for x, y in line_spots(line, plain)}
@@ -221,26 +218,39 @@ def block_spots(text: str, at: int, line: str) -> set[tuple[int, int]]:
         b = text.find("\n", a)
         return a, len(text) if b < 0 else b
 
-    begin, end = BEGIN.search(line), END.search(line)
-    if begin and end:
+    whole, first, begin = set(), END.search(line), BEGIN.search(line)
+    cut = first is not None and (begin is None or first.start() < begin.start())
+    while begin and (end := END.search(line, begin.end())):
         body = line[begin.end():end.start()]
-        return {(at + begin.start(), at + end.end())} if len(re.sub(r"\\n|\s", "", body)) >= 16 and not PLACEHOLDER.search(body.strip()) else set()
+        if len(re.sub(r"\\n|\s", "", body)) >= 16 and not PLACEHOLDER.search(body.strip()):
+            whole.add((at + begin.start(), at + end.end()))
+        begin = BEGIN.search(line, end.end())
     if begin:
-        out, a = [], at
-        while True:
-            x, y = one(a)
-            row = text[x:y]
-            out.append((x, y))
-            if x != at and (END.search(row) or not BODY.match(row.rstrip("\r"))):
-                if not END.search(row):
-                    out.pop()
-                break
-            if y >= len(text):
-                break
-            a = y + 1
-        if any("ENCRYPTED" in text[x:y] for x, y in out[:3]):
-            return set()
-        return set(out) if len(out) > 1 or y >= len(text) else set()
+        whole |= begun_block(text, at, one)
+    return whole | ended_block(text, at, one) if cut else whole
+
+
+def begun_block(text: str, at: int, one: Callable[[int], tuple[int, int]]) -> set[tuple[int, int]]:
+    """The lines of a key block from the line at ``at``, which has its BEGIN."""
+    out, a = [], at
+    while True:
+        x, y = one(a)
+        row = text[x:y]
+        out.append((x, y))
+        if x != at and (END.search(row) or not BODY.match(row.rstrip("\r"))):
+            if not END.search(row):
+                out.pop()
+            break
+        if y >= len(text):
+            break
+        a = y + 1
+    if any("ENCRYPTED" in text[x:y] for x, y in out[:3]):
+        return set()
+    return set(out) if len(out) > 1 or y >= len(text) else set()
+
+
+def ended_block(text: str, at: int, one: Callable[[int], tuple[int, int]]) -> set[tuple[int, int]]:
+    """The lines of a key block that the text begins within, up to the line at ``at``, which has its END."""
     out, a = [one(at)], at
     while a > 0:
         a = text.rfind("\n", 0, a - 1) + 1

@@ -54,3 +54,14 @@ def test_only_the_secret_is_masked(spark):
 def test_entropy():
     assert secrets.entropy("") == 0 and secrets.entropy("aaaa") == 0 and abs(secrets.entropy("abcd") - 2) < 1e-9
     assert secrets.randomness("aB3dE6gH9jK2mN5p") > 0.95 > secrets.randomness("aaaaaaaabbbbbbbb")
+
+
+def test_long_lines_are_read_whole():
+    body = "".join(secrets.base64.b64encode(bytes((i * 37 + j * 101) % 256 for j in range(48))).decode() + "\\n" for i in range(50))
+    key = "-----BEGIN RSA PRIVATE KEY-----\\n" + body + "-----END RSA PRIVATE KEY-----"
+    value = "Late!Quota#7781-" * 12
+    line = f'a({{"k":"{key}"}});' + "b();" * 90 + f'pwd="{value}";' + "c();" * 400 + f'd("{key}");'
+    text = "x = 1\n" + line + "\ny = 2\nz = 3\n"
+    got = [text[a:b] for a, b in secrets.found_spots(text, "a.js")]
+    assert got == [key, value, key]
+    assert secrets.found_spots('pwd = "' + "0a1b2c3d" * 60_000 + "\n" + "Ab1" * 100_000 + ' pwd="Late!Quota#7781"\n', "a.js")[-1][1] > 700_000
