@@ -1,8 +1,8 @@
 """Problem 1: credentials in source text, found by entropy and context, and masked in place.
 
-Candidates are quoted strings, values of settings, and long tokens. A candidate is a credential if its Shannon entropy,
+Candidates are all quoted strings and long tokens, and values of settings. A candidate is a credential if its Shannon entropy,
 against what a string of its length and alphabet can reach, is high enough for the place where it stands: next to a name that
-says it is secret little is asked, elsewhere it must look random or carry an issuer's prefix. Hashes, identifiers,
+says it is secret little is asked, elsewhere it must be as random as a key of its length or carry an issuer's prefix. Hashes, identifiers,
 placeholders, references and encrypted values are left out.
 """
 
@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ SECRET_NAMES = [
 # What issuers put before their keys.
 PREFIXED = (
     r"AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[opsur]_[A-Za-z0-9]{30,}|github_pat_\w{40,}|glpat-[\w-]{18,}|xox[abprs]-[\w-]{12,}"
-    r"|sk-[A-Za-z0-9_-]{20,}|[a-z]{2,4}_live_[A-Za-z0-9]{16,}|lmk[0-9a-f]{36,}|tdm\.[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{8,}|AIza[\w-]{35}"
+    r"|sk-[A-Za-z0-9_-]{20,}|[a-z]{2,4}_live_[A-Za-z0-9]{16,}|AIza[\w-]{35}"
     r"|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}"
 )
 # Files whose settings are written without quotes.
@@ -39,7 +40,7 @@ CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 WORDS = ["pass", "Pass", "PASS", "pwd", "Pwd", "PWD", "ecret", "ECRET", "key", "Key", "KEY", "oken", "OKEN", "salt", "Salt", "SALT",
          "auth", "Auth", "AUTH", "redential", "REDENTIAL", "login", "Login", "LOGIN", " pw", "_pw", "_PW"]
 MARKS = ["PRIVATE KEY", "Bearer ", "Basic ", "AKIA", "ASIA", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "xoxa-", "xoxb-", "xoxp-",
-         "xoxr-", "xoxs-", "sk-", "_live_", "lmk", "tdm.", "AIza", "eyJ", "://",
+         "xoxr-", "xoxs-", "sk-", "_live_", "AIza", "eyJ", "://",
          " -u ", "--user ", "uthenticate(", "ession(", "onnect(", "ign_in(", "ignIn(", "og_in("]
 WORD_TAIL = re.compile(
     r"(?:word|wd|phrase|code|enc|s|S|WORD|WD|PHRASE)?(?:[_.-]?\d+)?(?:[ \t]*(?:is|was|:|=|->)?[ \t]+[\"'`]?(?=[^\s\"'`]{8})(?P<note>[^\s\"'`]*\d[^\s\"'`]*)"
@@ -78,6 +79,21 @@ USER = re.compile(r"""\s(?:-u|--user)[ =]+["']?[^\s:"']+:([^\s"']+)""")
 BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 HEX = re.compile(r"^[0-9a-fA-F]+$")
+DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+# What stands before hashes and embedded data; the length from which a string is data.
+STAMPED = re.compile(r"(?i)^(?:sha\d+|md5|h1|v\d+|blob|etag|rev|id)[-:=_]")
+DATA = re.compile(r"(?i)(?:base64,|sha\d+[-:=]|integrity\W{1,4}|checksum\W{1,4}|h1:|ssh-(?:rsa|ed25519|dss) |ENC[\[(]|\$\{\w*|\{\{ *)$")
+# A row of embedded data: nothing but one long string.
+ROW = re.compile(r"""[\s"'`#*/+(\[]*[A-Za-z0-9+/=_-]{12,}[\s"'`,;+)\]\\n]*""")
+CAMELS = re.compile(r"^[a-z]*(?:[A-Z][a-z]{2,}){2,}\d*$")
+# A short tag that is no hexadecimal number, joined to a long one.
+TAGGED = re.compile(r"^(?!rev|hash|build|commit)[a-z]{1,4}[g-z][0-9a-f]{36,}$")
+COMMENT = re.compile(r"(?:^|\s)(?:#|//|/\*|\*|--|;|<!--)\s")
+WORDLIKE = re.compile(r"[A-Za-z]*\d*")
+LONGEST = 160
+# Quoted strings without blanks, and long tokens outside of quotes.
+STRING = re.compile(r"""(?P<q>["'`])(?P<v>[^\s"'`\\]{12,160})(?P=q)|(?<![\w+/.~-])(?P<t>[A-Za-z0-9_+/.~-]{20,160}={0,2})(?![\w+/.~-])""")
+KEYED = re.compile(r"(?i)(?:token|key|secret|auth|salt|pat|credentials?|pass\w{0,6}|pwd|signature)[\"'\])]*\s*(?::=|=>|=|:|\()\s*[&\w]{0,8}[\"'`]?$")
 UUID = re.compile(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 BODY = re.compile(r"^[\s#/*;\"'+,\\n]*[A-Za-z0-9+/=]{4,}[\s\"'+,\\n`;)]*$|^\s*(?:Proc-Type|DEK-Info):")
 
@@ -94,6 +110,44 @@ def randomness(s: str) -> float:
     return entropy(s) / math.log2(max(2, min(size, len(s))))
 
 
+@lru_cache(maxsize=100_000)
+def expected_entropy(n: int, size: int) -> float:
+    """Mean entropy of ``n`` characters drawn at random from an alphabet of ``size``."""
+    p, total = 1 / size, 0.0
+    for k in range(1, n + 1):
+        chance = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+        total -= size * chance * (k / n) * math.log2(k / n)
+        if k > n * p and chance < 1e-12:
+            break
+    return total
+
+
+def looks_random(value: str, named: bool = False) -> bool:
+    """Whether any string, wherever it stands, is as random as a key of its length and alphabet.
+
+    The bound is the entropy that random strings of the same length and alphabet have, less a margin; beside a name that ends like a
+    secret's the margin is wider and shorter values count. Hashes, ids, digits, embedded data and words are out.
+    """
+    if not (12 if named else 20) <= len(value) <= LONGEST or excluded(value) or UUID.match(value) or HEX.match(re.sub(r"[-:.]", "", value)) or STAMPED.search(value) or CAMELS.match(value):
+        return False
+    if TAGGED.match(value):
+        return True
+    runs = re.findall(r"[A-Za-z0-9]+", value)
+    if len(runs) > 1 and all(WORDLIKE.fullmatch(r) for r in runs):
+        return False
+    plain = "".join(runs)
+    if len(plain) < 0.7 * len(value) or not (DIGIT.search(plain) and LETTER.search(plain)):
+        return False
+    cased = plain.lower() != plain and plain.upper() != plain
+    pairs = sum(len(r) - 1 for r in runs)
+    kinds = [["d" if c.isdigit() else "l" if c.islower() else "u" for c in r] for r in runs]
+    changes = sum(a != b for r in kinds for a, b in zip(r, r[1:]))
+    if max(map(len, runs)) < 8 or changes < pairs * ((0.3 if named else 0.4) if cased else (0.15 if named else 0.22)):
+        return False  # words joined by signs or capitals change between letters, capitals and digits less often
+    size = 62 if cased else 36
+    return entropy(plain) >= expected_entropy(len(plain), size) - (0.6 if named else 0.35)
+
+
 def excluded(value: str) -> bool:
     """Placeholders, masked or empty values, references and encrypted values."""
     return bool(PLACEHOLDER.search(value) or REFERENCE.search(value)) or len(set(value)) < 4
@@ -158,7 +212,7 @@ def line_spots(line: str, plain: bool) -> list[tuple[int, int]]:
     for m in re.finditer(r"(?<![\w/+.-])(?:" + PREFIXED + r")(?![\w/+=])", line):
         if not excluded(m[0]) and randomness(m[0]) > 0.6:
             out.append(m.span())
-    comment = re.search(r"(?:^|\s)(?:#|//|/\*|\*|--|;|<!--)\s", line)
+    comment = COMMENT.search(line)
     if comment or plain:
         for m in NOTE.finditer(line, comment.start() if comment else 0):
             v = m[1].rstrip(".,;:)")
@@ -182,10 +236,42 @@ def line_spots(line: str, plain: bool) -> list[tuple[int, int]]:
     return out
 
 
+def data_row(text: str, at: int, end: int) -> bool:
+    """Whether a string stands alone on its line, beside another such line: data in several rows."""
+    a, b = text.rfind("\n", 0, at) + 1, text.find("\n", end)
+    b = len(text) if b < 0 else b
+    if ROW.fullmatch(text, a, b) is None:
+        return False
+    before = a > 0 and ROW.fullmatch(text, text.rfind("\n", 0, a - 1) + 1, a - 1)
+    after = text.find("\n", b + 1)
+    return bool(before or b < len(text) and ROW.fullmatch(text, b + 1, len(text) if after < 0 else after))
+
+
+def string_spots(text: str, plain: bool) -> list[tuple[int, int]]:
+    """Spots of the quoted strings and long tokens of a text that look random, whatever their setting is called.
+
+    Outside of strings and comments, a token of a file that isn't ``plain`` is a name.
+    """
+    out = []
+    for m in STRING.finditer(text):
+        at, end = m.span("v" if m["v"] is not None else "t")
+        value = text[at:end]
+        if DIGIT.search(value) is None or LETTER.search(value) is None:
+            continue
+        before = text[max(0, at - 48):at].rpartition("\n")[2]
+        if "base64," in value or DATA.search(before[:-1] if m["v"] is not None else before):
+            continue
+        if looks_random(value, KEYED.search(before) is not None) and not data_row(text, at, end):
+            head = text[text.rfind("\n", 0, at) + 1:at] if m["v"] is None and not plain else ""
+            if m["v"] is not None or plain or COMMENT.search(head) or any(q in head for q in "\"'`"):
+                out.append((at, end))
+    return out
+
+
 def found_spots(text: str, path: str) -> list[tuple[int, int]]:
     """Spots of credentials in a text, as sorted (start, end) without overlaps; key blocks in full, line by line."""
     plain = path.lower().endswith(PLAIN_VALUES)
-    spots: set[tuple[int, int]] = set()
+    spots = set(string_spots(text, plain))
     seen = -1
     for at, kind in spotter().iter(text):
         if at < seen:

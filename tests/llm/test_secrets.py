@@ -65,3 +65,15 @@ def test_long_lines_are_read_whole():
     got = [text[a:b] for a, b in secrets.found_spots(text, "a.js")]
     assert got == [key, value, key]
     assert secrets.found_spots('pwd = "' + "0a1b2c3d" * 60_000 + "\n" + "Ab1" * 100_000 + ' pwd="Late!Quota#7781"\n', "a.js")[-1][1] > 700_000
+
+
+def test_random_strings_need_no_listed_name(spark):
+    key = "Zk3vQ9xTpL2mW8rYbN5cHd7J"
+    found = [*[f'{n} = "{key}"' for n in ("token", "github_token", "npm_token", "session_key", "stripe_key", "outer", "x")], f'send(host, "{key}")', f'sh("run --with {key} now")', f"# run --with {key} now",
+             f'k = "lmq{key.encode().hex()[:40]}"', 'user_auth = "Zk3vQ9xTpL2mW8"']
+    assert lines(spark, *found) == [(i, 1) for i in range(len(found))]
+    data = "\n".join(f'"{key}{key[::-1]}",' for _ in range(4))
+    assert lines(
+        spark, data, f'img = "data:image/png;base64,{key}{key}"', f'x = "sha512-{key}{key}=="', f"y: ENC[{key}]", "git.rev30=43cdc805badd5277301e8a1f8fb1b931706d28b3", "type RankWindowBasketGrid0 = 1",
+        'p = "src/getUserById2/fromTable3.ts"', 'u = "9ce7f16d-7a2b-551b-8524-bcb6e29316ce"', 'id = "user-2024-11-28-release-notes-12"', 'm = "averyLongNameOfAFunction2WithWords"',
+    ) == []
