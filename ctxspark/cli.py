@@ -29,7 +29,9 @@ def run(spark, root: str, task: str, budget: int, log: bool) -> str:
     files = scan.scanned(spark, {"repo": root}, [LOG + "/", OPTIONS])
     imports = sources_syntax.syntax_imports(files).withColumn("ord", F.lit(0)).withColumn("base", graph.import_bases(F.col("spec"), F.col("path")))
     direct = graph.resolved_imports(imports.select("repo_id", "path", "spec", "ord", "base").distinct(), files, ["repo_id"])
-    edges = graph.undirected(direct.withColumnRenamed("path", "src"), ["repo_id"])
+    again = graph.resolved_imports(imports.filter("reexport").select("repo_id", "path", "spec", "ord", "base").distinct(), files, ["repo_id"])
+    closure = graph.reexport_closure(again.withColumnRenamed("path", "src"), ["repo_id"])
+    edges = graph.with_barrels(direct.withColumnRenamed("path", "src"), closure, ["repo_id"])
     tasks = spark.createDataFrame([(1, task, "repo", budget)], "query_id long, task string, repo_id string, budget long")
     bundles, chosen = pipeline.compiled(files, tasks, edges)
     if log:

@@ -401,7 +401,8 @@ def compiled_context(t: Tables) -> DataFrame:
     tasks = usage.latest_entries(t.run_metrics).filter("entry_type = 'run' AND task IS NOT NULL AND budget_tokens IS NOT NULL").groupBy("repo_id", "task").agg(
         F.min("entry_id").alias("query_id"), F.max("budget_tokens").alias("budget"))
     files = chunking.assembled_files(latest_chunks(t.chunks), ["repo_id", "path"])
-    return pipeline.compiled_by_repo(files, tasks.filter("repo_id IS NOT NULL"), graph.undirected(t.import_edges, ["repo_id"]))[0]
+    closure = graph.reexport_closure(t.import_edges.filter("edge_kind = 'reexport'"), ["repo_id"])
+    return pipeline.compiled_by_repo(files, tasks.filter("repo_id IS NOT NULL"), graph.with_barrels(t.import_edges, closure, ["repo_id"]))[0]
 
 
 # --- usage log ---

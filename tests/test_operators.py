@@ -286,3 +286,14 @@ def test_pipeline_offers_chunks_without_shared_words(spark):
     assert [p for p, _ in got[2]] == ["a.ts", "d.ts", "b.ts", "c.ts", "e.ts"] and [p for p, _ in got[3]] == ["a.ts", "d.ts", "b.ts", "c.ts", "e.ts", "f.ts"]
     text = {r.query_id: r.bundle for r in bundles.collect()}
     assert "(2 skipped" in text[1] and "skipped" not in text[2]
+
+
+def test_pipeline_cuts_by_syntax_and_caps_tokens(spark):
+    source = "\n\n".join(f"def f{i}():\n" + "\n".join(f"    x{j} = {j}" for j in range(50)) for i in range(4)) + "\n"
+    files = spark.createDataFrame([("r", "a.py", source), ("r", "b.txt", "word " * 30_000), ("r", "c.txt", "one " * 2_100)], "repo_id string, path string, text string")
+    chunks = pipeline.cut(files, ChunkOptions())
+    assert rows(chunks.filter("path = 'a.py'").select("seq", "start_line", "end_line"), "seq")[0][1] == 1
+    assert all(r.chunk_text.startswith("def f") for r in chunks.filter("path = 'a.py'").collect())
+    large = rows(chunks.filter("path = 'b.txt'").select("seq", "chunk_text", "is_whole_file"), "seq")
+    assert len(large) > 1 and "".join(t for _, t, _ in large) == "word " * 30_000 and not any(w for *_, w in large) and all(len(t) <= 32_000 for _, t, _ in large)
+    assert [r.is_whole_file for r in chunks.filter("path = 'c.txt'").collect()] == [True]
