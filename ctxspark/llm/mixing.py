@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 BITS, LEVELS = 12, 4
 
 
-def once_per_text(items: DataFrame) -> DataFrame:
-    """One row per text: the one of the least ``doc_id``. A text delivered again, from whatever source, counts once."""
+def once_per_text(items: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """One row per text: the one of the least ``doc_id``. A text delivered again, from whatever source, counts once.
+
+    With ``targets`` only copies of the sources that can give something count.
+    """
+    if targets is not None:
+        items = items.join(F.broadcast(targets.filter("target_share > 0 AND max_repeats > 0").select("source").distinct()), "source", "left_semi")
     return items.groupBy("text_id").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("r")).select("r.*")
 
 

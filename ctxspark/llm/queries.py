@@ -89,7 +89,7 @@ def p6_fill(t: Tables) -> DataFrame:
 @query
 def p7_drawn(t: Tables) -> DataFrame:
     """The drawn texts, with how often each is taken."""
-    return mixing.drawn(mixing.once_per_text(sizes.sized(t.documents)), t.mix_targets)
+    return mixing.drawn(mixing.once_per_text(sizes.sized(t.documents), t.mix_targets), t.mix_targets)
 
 
 @query

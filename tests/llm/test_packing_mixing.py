@@ -71,3 +71,9 @@ def test_shares_and_repeats(spark):
     share = {r.source: r.share for r in mixing.shares(taken, targets).collect()}
     assert abs(share["a"] - 0.5) < 0.004 and abs(share["b"] - 0.3) < 0.004 and abs(share["c"] - 0.2) < 0.004 and share["gone"] == 0
     assert mixing.drawn(items.limit(0), targets).count() == 0 and mixing.drawn(items, targets.limit(0)).count() == 0
+
+
+def test_copies_outside_the_targets_hide_no_text(spark):
+    items = spark.createDataFrame([(1, None, "t", 5), (2, "z", "t", 5), (3, "a", "t", 5), (4, "a", "u", 5)], "doc_id long, source string, text_id string, tokens long")
+    targets = spark.createDataFrame([("a", 1.0, 1), ("z", 0.0, 1)], "source string, target_share double, max_repeats int")
+    assert sorted(r.doc_id for r in mixing.once_per_text(items, targets).collect()) == [3, 4]
