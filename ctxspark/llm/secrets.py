@@ -31,8 +31,9 @@ PREFIXED = (
     r"|sk-[A-Za-z0-9_-]{20,}|[a-z]{2,4}_live_[A-Za-z0-9]{16,}|AIza[\w-]{35}"
     r"|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}"
 )
-# Files whose settings are written without quotes.
-PLAIN_VALUES = (".yaml", ".yml", ".env", ".ini", ".properties", ".toml", ".sh", ".md", ".cfg", ".conf", ".txt")
+# Files of programming languages, where a setting's value stands in quotes; in all others it needs none.
+QUOTING = (".py", ".pyi", ".js", ".mjs", ".cjs", ".jsx", ".ts", ".mts", ".cts", ".tsx", ".go", ".rs", ".java", ".kt", ".scala", ".c", ".h", ".cc", ".cpp", ".hpp",
+           ".cs", ".rb", ".php", ".swift", ".css", ".scss", ".json", ".sql")
 
 NAME = re.compile(r"(?i)(?:^|[_.\-\s]|^PG|^DB|(?<=[a-z0-9])(?=[A-Z]))(?:" + "|".join(SECRET_NAMES) + r")(?:[_.-]?\d+)?$")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -44,8 +45,8 @@ MARKS = ["PRIVATE KEY", "Bearer ", "Basic ", "AKIA", "ASIA", "ghp_", "gho_", "gh
          " -u ", "--user ", "uthenticate(", "ession(", "onnect(", "ign_in(", "ignIn(", "og_in("]
 WORD_TAIL = re.compile(
     r"(?:word|wd|phrase|code|enc|s|S|WORD|WD|PHRASE)?(?:[_.-]?\d+)?(?:[ \t]*(?:is|was|:|=|->)?[ \t]+[\"'`]?(?=[^\s\"'`]{8})(?P<note>[^\s\"'`]*\d[^\s\"'`]*)"
-    r"|[\"']?[ \t]*(?::[^=\n\"'`]{0,20}=|:=|=>|=|:)[ \t]*(?P<q>[\"'`]|concat!\()?[^\s\"'`]{0,4}|\([\"'])")
-URL_TAIL = re.compile(r"[^\s/\"'@:]{0,64}:[^\s/\"'@]+@")
+    r"|[\"']?[ \t]*(?::[^=\n\"'`;{]*+=|:=|=>|=|:)[ \t]*(?P<q>[\"'`]|concat!\()?[^\s\"'`]{0,4}|\([\"'])")
+URL_TAIL = re.compile(r"[^\s/\"'@:]*+:[^\s/\"'@]+@")
 _spotter: list = []
 
 
@@ -86,14 +87,17 @@ DATA = re.compile(r"(?i)(?:base64,|sha\d+[-:=]|integrity\W{1,4}|checksum\W{1,4}|
 # A row of embedded data: nothing but one long string.
 ROW = re.compile(r"""[\s"'`#*/+(\[]*[A-Za-z0-9+/=_-]{12,}[\s"'`,;+)\]\\n]*""")
 CAMELS = re.compile(r"^[a-z]*(?:[A-Z][a-z]{2,}){2,}\d*$")
-# A short tag that is no hexadecimal number, joined to a long one.
-TAGGED = re.compile(r"^(?!rev|hash|build|commit)[a-z]{1,4}[g-z][0-9a-f]{36,}$")
+# A word joined to a long hexadecimal number, as issuers mark their keys; the words of hashes and ids aren't meant.
+TAGGED = re.compile(r"^(?P<tag>[a-z]{0,7}[g-z])(?P<body>[0-9a-f]{32,})$")
+HASH_TAG = re.compile(r"^(?:rev|hash|build|commit|sha|git|obj|tree|etag|crc|sum|uuid|guid|img|layer|digest|chunk|asset)$")
 COMMENT = re.compile(r"(?:^|\s)(?:#|//|/\*|\*|--|;|<!--)\s")
 WORDLIKE = re.compile(r"[A-Za-z]*\d*")
-LONGEST = 160
-# Quoted strings without blanks, and long tokens outside of quotes.
-STRING = re.compile(r"""(?P<q>["'`])(?P<v>[^\s"'`\\]{12,160})(?P=q)|(?<![\w+/.~-])(?P<t>[A-Za-z0-9_+/.~-]{20,160}={0,2})(?![\w+/.~-])""")
-KEYED = re.compile(r"(?i)(?:token|key|secret|auth|salt|pat|credentials?|pass\w{0,6}|pwd|signature)[\"'\])]*\s*(?::=|=>|=|:|\()\s*[&\w]{0,8}[\"'`]?$")
+#: Length up to which a string may be a key; a longer one without an issuer's prefix, key block marks or a secret name is data.
+LONGEST = 512
+# Quoted strings without blanks, and long tokens outside of quotes; long tokens within quoted addresses.
+STRING = re.compile(r"""(?P<q>["'`])(?P<v>[^\s"'`\\]{12,})(?P=q)|(?<![\w+/.~-])(?P<t>[A-Za-z0-9_+/.~-]{20,}={0,2})(?![\w+/.~-])""")
+INNER = re.compile(r"(?<=[/=?&:#,;|])[A-Za-z0-9_~-]{16,}(?=$|[/&:#,;|])")
+KEYED = re.compile(r"(?i)(?:token|key|secret|auth|salt|pat|credentials?|pass\w{0,6}|pwd|sig|signature)[\"'\])]*\s*(?::=|=>|=|:|\()\s*[&\w]{0,8}[\"'`]?$")
 UUID = re.compile(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 BODY = re.compile(r"^[\s#/*;\"'+,\\n]*[A-Za-z0-9+/=]{4,}[\s\"'+,\\n`;)]*$|^\s*(?:Proc-Type|DEK-Info):")
 
@@ -130,18 +134,20 @@ def looks_random(value: str, named: bool = False) -> bool:
     """
     if not (12 if named else 20) <= len(value) <= LONGEST or excluded(value) or UUID.match(value) or HEX.match(re.sub(r"[-:.]", "", value)) or STAMPED.search(value) or CAMELS.match(value):
         return False
-    if TAGGED.match(value):
-        return True
+    if (m := TAGGED.match(value)) and not HASH_TAG.match(m["tag"]):
+        return entropy(m["body"]) >= expected_entropy(len(m["body"]), 16) - 0.35
     runs = re.findall(r"[A-Za-z0-9]+", value)
     if len(runs) > 1 and all(WORDLIKE.fullmatch(r) for r in runs):
         return False
     plain = "".join(runs)
-    if len(plain) < 0.7 * len(value) or not (DIGIT.search(plain) and LETTER.search(plain)):
+    if len(plain) < 0.7 * len(value) or not LETTER.search(plain):
         return False
     cased = plain.lower() != plain and plain.upper() != plain
     pairs = sum(len(r) - 1 for r in runs)
     kinds = [["d" if c.isdigit() else "l" if c.islower() else "u" for c in r] for r in runs]
     changes = sum(a != b for r in kinds for a, b in zip(r, r[1:]))
+    if not DIGIT.search(plain) and (not named or len(plain) < 20 or not cased or changes < 0.38 * pairs):
+        return False  # letters alone are words, unless their case keeps changing beside a secret's name
     if max(map(len, runs)) < 8 or changes < pairs * ((0.3 if named else 0.4) if cased else (0.15 if named else 0.22)):
         return False  # words joined by signs or capitals change between letters, capitals and digits less often
     size = 62 if cased else 36
@@ -256,12 +262,18 @@ def string_spots(text: str, plain: bool) -> list[tuple[int, int]]:
     for m in STRING.finditer(text):
         at, end = m.span("v" if m["v"] is not None else "t")
         value = text[at:end]
-        if DIGIT.search(value) is None or LETTER.search(value) is None:
-            continue
+        if LETTER.search(value) is None or DIGIT.search(value) is None and (value.islower() or value.isupper()):
+            continue  # neither words nor numbers are random
         before = text[max(0, at - 48):at].rpartition("\n")[2]
         if "base64," in value or DATA.search(before[:-1] if m["v"] is not None else before):
             continue
-        if looks_random(value, KEYED.search(before) is not None) and not data_row(text, at, end):
+        named = KEYED.search(before) is not None
+        if m["v"] is not None and ("://" in value or "=" in value.rstrip("=")) and not data_row(text, at, end):
+            inner = [x for x in INNER.finditer(value) if looks_random(x[0], KEYED.search(value[max(0, x.start() - 24):x.start()]) is not None)]
+            if inner and not named:
+                out += [(at + x.start(), at + x.end()) for x in inner]
+                continue
+        if looks_random(value, named) and not data_row(text, at, end):
             head = text[text.rfind("\n", 0, at) + 1:at] if m["v"] is None and not plain else ""
             if m["v"] is not None or plain or COMMENT.search(head) or any(q in head for q in "\"'`"):
                 out.append((at, end))
@@ -270,7 +282,7 @@ def string_spots(text: str, plain: bool) -> list[tuple[int, int]]:
 
 def found_spots(text: str, path: str) -> list[tuple[int, int]]:
     """Spots of credentials in a text, as sorted (start, end) without overlaps; key blocks in full, line by line."""
-    plain = path.lower().endswith(PLAIN_VALUES)
+    plain = not path.lower().endswith(QUOTING)
     spots = set(string_spots(text, plain))
     seen = -1
     for at, kind in spotter().iter(text):

@@ -77,3 +77,16 @@ def test_random_strings_need_no_listed_name(spark):
         spark, data, f'img = "data:image/png;base64,{key}{key}"', f'x = "sha512-{key}{key}=="', f"y: ENC[{key}]", "git.rev30=43cdc805badd5277301e8a1f8fb1b931706d28b3", "type RankWindowBasketGrid0 = 1",
         'p = "src/getUserById2/fromTable3.ts"', 'u = "9ce7f16d-7a2b-551b-8524-bcb6e29316ce"', 'id = "user-2024-11-28-release-notes-12"', 'm = "averyLongNameOfAFunction2WithWords"',
     ) == []
+
+
+def test_tokens_in_addresses_and_settings_of_any_file():
+    key = "tpRlPI3yiGnMYe3tAcqmBlEvEKHjDiRY"
+    spots = lambda text, path="a.py": [text[a:b] for a, b in secrets.found_spots(text, path)]
+    assert spots(f'fetch("https://quarry.example/hook?key={key}")') == [key]
+    assert spots('fetch("https://quarry.example/hook?sig=tpRlPIqyiGnMYezTaCqmBlEvEKHjDiRY")') == ["tpRlPIqyiGnMYezTaCqmBlEvEKHjDiRY"]
+    assert spots(f"//registry.example/:_authToken={key}", ".npmrc") == [key]
+    assert spots('fetch("https://docs.example/api/getUserByIdFromTable?page=releaseNotesOverview")') == []
+    assert spots('k = "lmq9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"') and not spots('k = "rev9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"')
+    long = "".join("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[i * i * 7919 % 62] for i in range(1200))
+    assert spots(f'secret = "{long}";' + "z();" * 800, "a.js") == [long]
+    assert spots("redis://" + "u" * 200 + ":Gr1d!shard77@h.example/x", "a.env") == ["Gr1d!shard77"]
