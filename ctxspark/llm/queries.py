@@ -126,7 +126,7 @@ def p3_rates(t: Tables) -> DataFrame:
 @query
 def p3_repairs(t: Tables) -> DataFrame:
     """Least number of edits and kind of damage of each such file."""
-    return broken.broken(t.chunks, t.ext_langs, 2)
+    return broken.broken(t.chunks, t.ext_langs)
 
 
 # Brute force over all pairs of a namespace; on the small tables that DuckDB gets here that is quick.
