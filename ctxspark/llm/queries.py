@@ -40,8 +40,9 @@ def p2_found(t: Tables) -> DataFrame:
 
 @query
 def p2_reasons(t: Tables) -> DataFrame:
-    """Number of such files by repository and reason."""
-    return handwritten.not_handwritten(t.chunks).groupBy("repo_id", "reason").agg(F.count("*").alias("files"))
+    """Number of such files by repository and reason, and how many of them the Merkle hashes alone find."""
+    files = handwritten.not_handwritten(t.chunks).groupBy("repo_id", "reason")
+    return files.agg(F.count("*").alias("files"), F.count_if("copied").alias("by_hashes"))
 
 
 @query

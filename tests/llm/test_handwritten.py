@@ -26,7 +26,24 @@ def test_shared_subtrees(spark):
     files = [(r, f"{at}/{p}", 1, t) for r, at in (("a", "src"), ("b", "tools/x")) for p, t in lib]
     files += [(r, "main.py", 1, f"def main():\n    run('{r}')\n" * 20) for r in "ab"]
     got = reasons(spark, files)
-    assert set(got) == {(r, f"{at}/{p}") for r, at in (("a", "src"), ("b", "tools/x")) for p, _ in lib} and set(got.values()) == {"vendored"}
+    assert set(got) == {(r, f"{at}/{p}") for r, at in (("a", "src"), ("b", "tools/x")) for p, _ in lib} and set(got.values()) == {"copied"}
+
+
+def test_copies_with_other_headers_names_and_places(spark):
+    lib = "".join(f"def helper_{i}(value, table):\n    found = table.get(value, {i})\n    return found * {i + 3}\n\n\n" for i in range(12))
+    mine = "".join(f"def own_{i}(row):\n    total = row['t{i}'] + {i}\n    return total / {i + 1}\n\n\n" for i in range(12))
+    files = [
+        ("a", "x/lib/one.py", 1, "# Copyright a\n" + lib), ("b", "y/two.py", 1, "# some other header\n# of two lines\n" + lib.replace("    found", "\tfound").replace("\n\n\n", "\n\n# note\n\n")),
+        ("c", "z.py", 1, lib + mine[:len(mine) // 3]), ("d", "w.py", 1, lib[:len(lib) // 4] + mine.replace("own", "other")), ("a", "app.py", 1, mine.replace("own", "first")), ("b", "app.py", 1, mine.replace("own", "second")),
+    ]
+    assert reasons(spark, files) == {("a", "x/lib/one.py"): "copied", ("b", "y/two.py"): "copied", ("c", "z.py"): "copied"}
+    hot = [(f"r{i}", f"p{i}/h.py", 1, lib) for i in range(60)] + [(f"r{i}", "own.py", 1, mine.replace("own", f"m{i}")) for i in range(60)]
+    assert set(reasons(spark, hot)) == {(r, p) for r, p, _, _ in hot[:60]}
+
+
+def test_headers_of_any_length(spark):
+    licence = "".join(f"# clause {i} of the terms\n" for i in range(60))
+    assert reasons(spark, [("r", "a.py", 1, licence + "# Code generated by maker 2.1 DO NOT EDIT\n" + OWN)]) == {("r", "a.py"): "generated"}
 
 
 def test_copies_of_a_repository_are_related(spark):
