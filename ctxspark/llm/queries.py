@@ -81,10 +81,11 @@ def p6_packing(t: Tables) -> DataFrame:
 
 @query
 def p6_fill(t: Tables) -> DataFrame:
-    """Containers, tokens and fill by capacity."""
-    by = p6_packing(t).groupBy("limit_id", "container").agg(F.sum("tokens").alias("used"), F.count("*").alias("items"))
+    """Containers, tokens and fill by capacity, and what the least-squares step has to do with it."""
+    items = sizes.sized(t.documents).select("doc_id", "tokens").dropDuplicates(["doc_id"])
+    by = packing.packed(items, t.pack_limits).groupBy("limit_id", "container").agg(F.sum("tokens").alias("used"), F.count("*").alias("items"))
     sums = by.groupBy("limit_id").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("most"), F.max("items").alias("most_items"))
-    return sums.join(t.pack_limits, "limit_id").withColumn("fill", F.round(F.col("tokens") / F.col("containers") / F.col("capacity_tokens"), 6))
+    return sums.join(t.pack_limits, "limit_id").join(packing.planned_fill(items, t.pack_limits), "limit_id").withColumn("fill", F.round(F.col("tokens") / F.col("containers") / F.col("capacity_tokens"), 6))
 
 
 @query

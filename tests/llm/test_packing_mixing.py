@@ -26,6 +26,18 @@ def test_plan_holds_every_item_once(capacity):
             assert sum(o for _, o in plan) <= 1.03 * used / capacity + 1
 
 
+@pytest.mark.parametrize("capacity", [64, 512, 2048])
+def test_least_squares_fill_as_well_as_the_greedy_packing(capacity):
+    rng, hist = random.Random(capacity), {}
+    for _ in range(4000):
+        n = min(capacity, max(1, int(rng.lognormvariate(4.5, 1))))
+        hist[n] = hist.get(n, 0) + 1
+    count = lambda plan: sum(n for _, n in plan)
+    assert count(packing.plan(hist, capacity)) <= count(packing.greedy_plan(hist, [], capacity))
+    opened = packing.opened_by_squares(hist, capacity, packing.DEPTHS[0])
+    assert opened and all(capacity - capacity // packing.WINDOW <= sum(x) <= capacity for x, _ in opened)
+
+
 def test_least_squares():
     rng = np.random.default_rng(1)
     a, x = rng.random((20, 8)), np.array([0, 2, 0, 1, 5, 0, 0, 3.0])
