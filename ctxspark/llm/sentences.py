@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ from ctxspark.session import materialise
 
 #: Labelled rows that the classifier is fitted on, at most; the counts behind its features cover all documents.
 TRAINING_ROWS = 100_000
+#: Log odds from which the tokens of a stop are a label for the second classifier; parts of a join on tokens.
+SURE, SALTS = 2.0, 8
 
 # Marks, closers and openers.
 CJK_MARKS, OTHER_MARKS, STOP = "。！？｡︒", "!?؟۔।॥‼⁇⁈⁉։።", "."
@@ -36,6 +39,7 @@ URL = re.compile(r"(?:https?|ftp)://[^\s<>\"“”«»「」（）。！？]+")
 CANDIDATE = re.compile(r"[.!?؟۔।॥‼⁇⁈⁉։።。！？｡︒]+(?:[   ]?[!?؟]+)*")
 THAI = "฀-๿຀-໿ក-៿က-႟"
 THAI_GAP = re.compile(rf"(?<=[{THAI}ฯๆ])[ \t\n\r ]+(?=[{THAI}])")
+MIXED_GAP = re.compile(rf"(?<=[{THAI}ฯๆ])[ \t\n\r]+(?=[A-Za-z0-9])")
 SMALL = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*(?=\s|[,.;:!?)\]»”\"…]+(?:\s|$)|$)")
 
 
@@ -89,6 +93,7 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
+@lru_cache(maxsize=200_000)
 def token_class(token: str) -> str:
     """A token as the counts know it: code, paths and numbers by kind, words as they are."""
     token = token.strip("\"'“”„«»‹›()（）[]*_…,;:").removesuffix(".")
@@ -98,19 +103,27 @@ def token_class(token: str) -> str:
         return "9" if token[0].isdigit() and "." not in token else "9.9" if token[0].isdigit() else "v9"
     if "://" in token or re.search(r"[/_]|\w\(\)|[a-z][A-Z]|[A-Za-z]\w+\.\w{1,}", token) and token.isascii():
         return "<code>" if re.search(r"[./]", token) else "<name>"
-    return re.sub(r"\d+", "9", token)[:24]
+    return re.sub(r"\d+", "9", token)
 
 
-def first_token(s: str) -> str:
-    """The class of the first token of a text."""
-    m = re.match(r"\s*(\S+)", s[:80])
-    return token_class(m[1].rstrip(".!?,;:")) if m else ""
+TOKEN = re.compile(r"\S+")
 
 
-def last_token(s: str) -> str:
+def first_token(s: str, at: int = 0) -> str:
+    """The class of the first token of a text from a place on."""
+    m = TOKEN.search(s, at)
+    return token_class(m[0].rstrip(".!?,;:")) if m else ""
+
+
+def last_token(s: str, end: int | None = None) -> str:
     """The class of the last token of a text that ends before a stop."""
-    m = re.search(r"(\S+)\s*$", s[-60:])
-    return token_class(m[1]) if m else ""
+    end = len(s) if end is None else end
+    while end > 0 and s[end - 1].isspace():
+        end -= 1
+    at = end
+    while at > 0 and not s[at - 1].isspace():
+        at -= 1
+    return token_class(s[at:end]) if at < end else ""
 
 
 def quoted_depth(block: str) -> list[tuple[int, int]]:
@@ -146,26 +159,34 @@ def quoted_depth(block: str) -> list[tuple[int, int]]:
     return outer
 
 
-def small_word(s: str) -> bool:
-    """Whether a text starts with a plain word in small letters."""
-    m = SMALL.match(s)
+def small_word(s: str, at: int = 0) -> bool:
+    """Whether a text goes on with a plain word in small letters."""
+    m = SMALL.match(s, at)
     return bool(m) and m[0].islower()
 
 
-def candidates(block: str) -> list[tuple[int, int, int, str, str]]:
-    """``(end, next start, kind, token before, token after)`` of candidate boundaries in a block.
+#: What a candidate is, as bits of a number: the kind of mark, white space after it, the next letter's case, digits, script, quotation.
+STOPS, ASKS, WIDE, BLANK_ONLY, GAP, SMALL_NEXT, CAPITAL_NEXT, DIGIT_NEXT, QUOTED, UNSPACED, DOTTED = (1 << n for n in range(11))
+SPAN = re.compile(r"[\"“„«「『(（\[【《‹]")
+AFTER = re.compile(r"\S")
+LEADS = CJK_MARKS + OTHER_MARKS + STOP + "”」』）)\"»"
+
 
-    Kind 1 is a boundary for sure, 0 is to be classified, -1 is none for sure (kept as a stop before a small word).
+def candidates(block: str) -> list[tuple[int, int, int, int, str, str]]:
+    """``(end, next start, label, flags, token before, token after)`` of the candidate boundaries in a block.
+
+    Label 1 is a reliable boundary, -1 reliably none, 0 neither. Tokens are given for full stops only.
     """
     masked = block
     for rx in (CODE_SPAN, URL):
         def blank(m: re.Match) -> str:
             keep = re.search(r"[.,;:!?)\]]+$", m[0]) if rx is URL else None
             return "\x02" * (len(m[0]) - (len(keep[0]) if keep else 0)) + (keep[0] if keep else "")
-        masked = rx.sub(blank, masked)
-    spans = quoted_depth(masked) if re.search(r"[\"“„«「『(（\[【《‹]", masked) else []
+        if (rx is URL and "://" in masked) or (rx is CODE_SPAN and "`" in masked):
+            masked = rx.sub(blank, masked)
+    spans = quoted_depth(masked) if SPAN.search(masked) else []
     out = []
-    si = 0
+    si, n = 0, len(block)
     for m in CANDIDATE.finditer(masked):
         i, j = m.span()
         while si < len(spans) and spans[si][1] <= i:
@@ -178,47 +199,50 @@ def candidates(block: str) -> list[tuple[int, int, int, str, str]]:
             if block[j:e].strip() and not all(c in CLOSERS or c.isspace() for c in block[j:e]):
                 continue
             end, bracket = e, block[s]
-            before = block[:s].rstrip()
-            leads = not before or before[-1] in CJK_MARKS + OTHER_MARKS + STOP + "”」』）)\"»"
-        while end < len(block) and block[end] in CLOSERS and not (block[end] in "\"“" and end + 1 < len(block) and not block[end + 1].isspace()):
+            k = s
+            while k > 0 and block[k - 1].isspace():
+                k -= 1
+            leads = k == 0 or block[k - 1] in LEADS
+        while end < n and block[end] in CLOSERS and not (block[end] in "\"“" and end + 1 < n and not block[end + 1].isspace()):
             end += 1
-        rest = block[end:]
-        after = rest.lstrip()
-        if not after:
+        found = AFTER.search(block, end)
+        if found is None:
             continue
-        nxt = end + len(rest) - len(after)
+        nxt = found.start()
         gap = nxt > end
-        mark = m[0].strip()[-1]
+        sign = m[0].strip()
+        mark = sign[-1]
         wide = mark in CJK_MARKS
-        lower = small_word(after)
-        cased = after.lstrip("“„«\"'(¿¡[")[:1]
         if not gap and not wide:
             continue
+        lower = small_word(block, nxt)
+        k = nxt
+        while k < n and block[k] in "“„«\"'(¿¡[":
+            k += 1
+        cased = block[k:k + 1]
+        flags = (WIDE if wide else ASKS if mark in OTHER_MARKS else STOPS) | GAP * gap | SMALL_NEXT * lower | CAPITAL_NEXT * cased.isupper() | DIGIT_NEXT * cased.isdigit()
+        flags |= QUOTED * bool(inside) | UNSPACED * (cased >= "\u0e00" and not cased.isupper() and not cased.islower() and cased.isalpha()) | DOTTED * (sign != "." and mark == ".")
         if inside:
-            if bracket in "(（[【":
-                if leads and not lower and (gap or wide):
-                    out.append((end, nxt, 1, "", first_token(after)))
-            elif cased.isupper() and gap and not lower:
-                out.append((end, nxt, 1, "", first_token(after)))
-            continue
-        if wide:
-            out.append((end, nxt, 1, "", first_token(after)))
-        elif mark in OTHER_MARKS:
-            if not lower or mark in "।॥۔։።":
-                out.append((end, nxt, 1, "", first_token(after)))
-        elif m[0].strip() != "." and lower:
-            continue
+            sure = leads and not lower and (gap or wide) if bracket in "(（[【" else cased.isupper() and gap and not lower
+            out.append((end, nxt, 1 if sure else -1, flags | (0 if sure else BLANK_ONLY), "", ""))
+        elif wide or mark in OTHER_MARKS:
+            sure = wide or not lower or mark in "।॥۔։።"
+            out.append((end, nxt, 1 if sure else -1, flags, "", ""))
+        elif sign != "." and lower:
+            out.append((end, nxt, -1, flags, "", ""))
         else:
-            out.append((end, nxt, -1 if lower else 0, last_token(block[:i]), first_token(after)))
+            out.append((end, nxt, -1 if lower else 0, flags, last_token(block, i), first_token(block, nxt)))
     for m in THAI_GAP.finditer(masked):
         if not any(s < m.start() < e for s, e in spans):
-            out.append((m.start(), m.end(), 1, "", ""))
+            out.append((m.start(), m.end(), 1, BLANK_ONLY | GAP | UNSPACED, "", ""))
+    for m in MIXED_GAP.finditer(masked):
+        out.append((m.start(), m.end(), -1, BLANK_ONLY | GAP | DIGIT_NEXT * block[m.end()].isdigit() | CAPITAL_NEXT * block[m.end()].isupper(), "", ""))
     return sorted(out)
 
 
 BLOCKS = (
-    "doc_id long, start_char int, end_char int, first string, last string, following string, "
-    "cands array<struct<end:int,next:int,kind:int,before:string,after:string>>")
+    "doc_id long, text_hash long, start_char int, end_char int, first string, last string, following string, "
+    "ends array<int>, nexts array<int>, labels array<int>, flags array<int>, befores array<string>, afters array<string>")
 
 
 def found_blocks(documents: DataFrame) -> DataFrame:
@@ -230,26 +254,33 @@ def found_blocks(documents: DataFrame) -> DataFrame:
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.doc_id, batch.text):
+            for doc, code, text in zip(batch.doc_id, batch.text_hash, batch.text):
                 spans = blocks(text)
-                firsts = [first_token(text[s:s + 80]) for s, _, _ in spans] + [""]
+                firsts = [first_token(text, s) for s, _, _ in spans] + [""]
                 for n, (s, e, heading) in enumerate(spans):
                     block = text[s:e]
                     tail = block.rstrip(CLOSERS)
-                    last = last_token(tail[:-1]) if tail.endswith(".") and not tail.endswith("..") else ""
-                    rows.append((doc, s, e, firsts[n], last, firsts[n + 1], [dict(zip(("end", "next", "kind", "before", "after"), (s + c[0], s + c[1], *c[2:]))) for c in (candidates(block) if not heading else ())]))
-            yield pd.DataFrame(rows, columns=["doc_id", "start_char", "end_char", "first", "last", "following", "cands"])
+                    last = last_token(tail, len(tail) - 1) if tail.endswith(".") and not tail.endswith("..") else ""
+                    found = () if heading else candidates(block)
+                    rows.append((doc, code, s, e, firsts[n], last, firsts[n + 1], [s + c[0] for c in found], [s + c[1] for c in found], *([c[x] for c in found] for x in range(2, 6))))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in BLOCKS.split(", ")])
 
-    rows = documents.filter("doc_id IS NOT NULL AND length(trim(text)) > 0").select("doc_id", "text").dropDuplicates(["doc_id"])
+    rows = documents.filter("doc_id IS NOT NULL AND length(trim(text)) > 0").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInPandas(look, BLOCKS)
 
 
+def once_per_document(found: DataFrame) -> DataFrame:
+    """The blocks of one text for each ``doc_id``: of several texts under one id, the one of the least hash. Repeats drop out later."""
+    several = found.groupBy("doc_id").agg(F.min("text_hash").alias("_a"), F.max("text_hash").alias("_b")).filter("_a <> _b")
+    return found if several.isEmpty() else found.join(several, "doc_id", "left").filter("_a IS NULL OR text_hash = _a").drop("_a", "_b")
+
+
 def token_counts(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(before, after)``: how often each token stands before a stop and at the end of a block, after one and at the start."""
-    inner = found.select(F.explode("cands").alias("c"))
-    stops = inner.filter("c.kind < 1").select(F.col("c.before").alias("token"), F.lit(0).alias("edge"))
+    inner = found.select(F.explode(F.arrays_zip("befores", "afters")).alias("c"))
+    stops = inner.filter("c.befores <> ''").select(F.col("c.befores").alias("token"), F.lit(0).alias("edge"))
     ends = found.filter("last <> ''").select(F.col("last").alias("token"), F.lit(1).alias("edge"))
-    starts = inner.filter("c.after <> ''").select(F.col("c.after").alias("token"), F.lit(0).alias("edge"))
+    starts = inner.filter("c.afters <> ''").select(F.col("c.afters").alias("token"), F.lit(0).alias("edge"))
     heads = found.filter("first <> ''").select(F.col("first").alias("token"), F.lit(1).alias("edge"))
     count = lambda df: df.groupBy("token").agg(F.sum("edge").alias("edge"), F.count("*").alias("n"))
     return count(stops.unionByName(ends)), count(starts.unionByName(heads))
@@ -281,12 +312,27 @@ def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -
     return w
 
 
+def shape(flags: Column, tokens: Column) -> list[Column]:
+    """Features of any candidate: mark, case, digits, script, gap and quotation, and for full stops what their tokens say."""
+    bit = lambda *bits: (flags.bitwiseAND(F.lit(sum(bits))) == sum(bits)).cast("double")
+    return [F.lit(1.0), tokens, *[bit(x) for x in (STOPS, ASKS, WIDE, BLANK_ONLY, GAP, SMALL_NEXT, CAPITAL_NEXT, DIGIT_NEXT, QUOTED, UNSPACED, DOTTED)],
+            bit(WIDE, SMALL_NEXT), bit(STOPS, SMALL_NEXT), bit(BLANK_ONLY, UNSPACED), bit(BLANK_ONLY, QUOTED)]
+
+
+def dot(x: Column, weights: np.ndarray) -> Column:
+    """The weighted sum of features."""
+    return F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
 def sentences(documents: DataFrame) -> DataFrame:
     """``doc_id, start_char, end_char``: every sentence, as code point offsets, end exclusive.
 
+    Two classifiers are fitted. The first tells stops that end a sentence from others by their tokens alone, on ends of blocks
+    and on stops before small words. The second judges every candidate (stops, other marks, gaps, ends of quotations) by its
+    shape and the first one's verdict, on the reliable candidates and on the stops that the first is sure of.
     Documents with a null or blank text, or only fenced code, have none; a repeated ``doc_id`` counts once.
     """
-    found = materialise(found_blocks(documents))
+    found = once_per_document(materialise(found_blocks(documents)))
     before, after = (materialise(c) for c in token_counts(found))
     total = before.agg(F.sum("edge").alias("e"), F.sum("n").alias("n")).first()
     heads = after.agg(F.sum("edge").alias("e"), F.sum("n").alias("n")).first()
@@ -295,30 +341,42 @@ def sentences(documents: DataFrame) -> DataFrame:
     by_after = after.select(F.col("token").alias("after"), F.col("edge").alias("_ae"), F.col("n").alias("_an"))
 
     def with_features(rows: DataFrame, own: int) -> DataFrame:
-        joined = rows.join(by_before, "before", "left").join(by_after, "after", "left")
-        return joined.withColumn("x", F.array(*features(F.col("_be"), F.col("_bn"), F.col("_ae"), F.col("_an"), F.col("before"), rate_before, rate_after, own)))
+        """The rows' features. Tokens that many rows share are joined in salted parts."""
+        for side, column in ((by_before, "before"), (by_after, "after")):
+            wide = side.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+            rows = rows.withColumn("_salt", F.floor(F.rand(1) * SALTS).cast("int")).join(wide, [column, "_salt"], "left").drop("_salt")
+        return rows.withColumn("x", F.array(*features(F.col("_be"), F.col("_bn"), F.col("_ae"), F.col("_an"), F.col("before"), rate_before, rate_after, own)))
 
-    stops = found.select("doc_id", "start_char", F.explode("cands").alias("c")).filter("c.kind < 1").select(
-        "doc_id", "start_char", F.col("c.end").alias("end"), F.col("c.next").alias("next"), F.col("c.kind").alias("kind"), "c.before", "c.after")
-    good = found.filter("last <> '' AND following <> ''").select(F.col("last").alias("before"), F.col("following").alias("after"), F.xxhash64("doc_id", "end_char").alias("_h"))
-    bad = stops.filter("kind = -1").select("before", "after", F.xxhash64("doc_id", "end").alias("_h"))
     half = TRAINING_ROWS // 2
 
     def pick(df: DataFrame) -> DataFrame:
         """At most half of the training rows, by hash; thinned by count first, so that no task sorts more than about those."""
         share = min(1.0, 1.5 * half / max(df.count(), 1))
-        return df.filter(F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000).orderBy("_h", "before", "after").limit(half)
-
-    labelled = with_features(pick(good), 1).select("x", F.lit(1.0).alias("y")).unionByName(with_features(pick(bad), 0).select("x", F.lit(0.0).alias("y"))).toPandas()
-    open_ = stops.filter("kind = 0")
-    if len(labelled) and 0 < labelled.y.sum() < len(labelled):
-        weights = fitted(np.stack(labelled.x.to_numpy()), labelled.y.to_numpy())
-        score = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(v)) for v in weights]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        open_ = with_features(open_, 0).filter(score > 0)
-    sure = found.select("doc_id", "start_char", F.explode("cands").alias("c")).filter("c.kind = 1").select(
-        "doc_id", "start_char", F.col("c.end").alias("end"), F.col("c.next").alias("next"))
-    cuts = sure.unionByName(open_.select("doc_id", "start_char", "end", "next"))
+        return df.filter(F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000).orderBy("_h", "x").limit(half)
+
+    def weights_of(good: DataFrame, bad: DataFrame) -> np.ndarray | None:
+        labelled = pick(good).select("x", F.lit(1.0).alias("y")).unionByName(pick(bad).select("x", F.lit(0.0).alias("y"))).toPandas()
+        if not 0 < labelled.y.sum() < len(labelled):
+            return None
+        return fitted(np.stack(labelled.x.to_numpy()), labelled.y.to_numpy())
+
+    each = found.select("doc_id", "start_char", F.explode(F.arrays_zip("ends", "nexts", "labels", "flags", "befores", "afters")).alias("c")).select(
+        "doc_id", "start_char", F.col("c.ends").alias("end"), F.col("c.nexts").alias("next"), F.col("c.labels").alias("label"), F.col("c.flags").alias("flags"),
+        F.col("c.befores").alias("before"), F.col("c.afters").alias("after"), F.xxhash64("doc_id", "c.ends").alias("_h"))
+    stops = materialise(with_features(each.filter("before <> '' OR after <> ''"), 0).select("doc_id", "start_char", "end", "next", "label", "flags", "x", "_h"))
+    edges = found.filter("last <> '' AND following <> ''").select(F.col("last").alias("before"), F.col("following").alias("after"), F.xxhash64("doc_id", "end_char").alias("_h"))
+    by_tokens = weights_of(with_features(edges, 1), stops.filter("label = -1"))
+    verdict = F.lit(0.0) if by_tokens is None else dot(F.col("x"), by_tokens)
+    verdict = F.greatest(F.least(verdict, F.lit(8.0)), F.lit(-8.0))
+    shaped = lambda df, tokens: df.withColumn("_t", tokens).withColumn("x", F.array(*shape(F.col("flags"), F.col("_t"))))
+    every = shaped(stops, verdict).unionByName(shaped(each.filter("before = '' AND after = ''").drop("before", "after"), F.lit(0.0)))
+    good = every.filter(f"label = 1 OR label = 0 AND _t > {SURE}")
+    bad = every.filter(f"label = -1 OR label = 0 AND _t < -{SURE}")
+    by_shape = weights_of(good, bad)
+    cuts = every.filter("label = 1") if by_shape is None else every.filter(dot(F.col("x"), by_shape) > 0)
+    if by_shape is None and by_tokens is None:
+        cuts = every.filter("label >= 0")
     ends = found.select("doc_id", "start_char", F.col("end_char").alias("end"), F.lit(None).cast("int").alias("next"))
-    per = cuts.unionByName(ends).groupBy("doc_id", "start_char").agg(F.array_sort(F.collect_list(F.struct("end", "next"))).alias("_c"))
+    per = cuts.select("doc_id", "start_char", "end", "next").unionByName(ends).groupBy("doc_id", "start_char").agg(F.array_sort(F.collect_set(F.struct("end", "next"))).alias("_c"))
     spans = F.transform("_c", lambda c, i: F.struct(F.when(i == 0, F.col("start_char")).otherwise(F.try_element_at("_c", i)["next"]).alias("s"), c["end"].alias("e")))
     return per.select("doc_id", F.explode(spans).alias("x")).select("doc_id", F.col("x.s").alias("start_char"), F.col("x.e").alias("end_char")).filter("start_char < end_char")
