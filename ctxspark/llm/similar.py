@@ -2,18 +2,19 @@
 
 Unit vectors are projected to a few dimensions with Gaussian weights: a pair at distance d lies at d^2 times a chi-square
 variable in the projection. A kd-tree over the projection, fitted on a bounded sample, cuts each namespace into blocks of
-bounded size. A vector's k-th best distance in its own block bounds the search: other blocks are verified, by true cosines, while
-their projected distance is below that distance times the chi-square quantile; beyond it the stopping test holds.
+bounded size. A vector's k-th best distance so far bounds the search: blocks are verified, by true cosines, in the order of their
+projected distance while that is below the bound times the chi-square quantile; beyond it the stopping test holds.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,7 +23,10 @@ from ctxspark.session import materialise
 PROJECTED, SEED = 8, 20240607
 #: Rows per namespace that the kd-tree is fitted on; every row is indexed.
 SAMPLE = 20_000
-BLOCK_ROWS = 8192
+#: Vectors in a block; blocks that a row asks before its radius is tightened; blocks whose askers meet in one task.
+BLOCK_BYTES, FIRST, GROUPED = 4 << 20, 2, 4
+#: Parts into which the members of one class fall.
+SALTS = 16
 #: Probability with which the stopping test keeps a true neighbour.
 CONFIDENCE_Z = 3.1
 
@@ -113,91 +117,140 @@ def best(a: np.ndarray, b: np.ndarray, k: int, floor: float, same: bool) -> tupl
     return join(rows, np.int64), join(cols, np.int64), join(cosines, np.float64)
 
 
-FOUND = "provider_ns string, entry_key string, near string, cosine double"
+FOUND = "provider_ns string, block string, row int, entry_key string, near string, cosine double"
 BLOCK = (
-    "provider_ns string, block string, n int, keys array<string>, asks binary, units binary, ats binary, reach binary, lo array<float>, hi array<float>, "
-    "most float, mine array<string>, near array<string>, cosines array<double>")
+    "provider_ns string, block string, number int, n int, keys array<string>, asks binary, units binary, ats binary, reach binary, lo array<float>, hi array<float>, "
+    "mine array<int>, near array<string>, cosines array<double>")
+PROBES = "provider_ns string, target string, part int, block string, n int, rows array<int>, keys array<string>, units binary"
 
 
 def blocks_of(rows: DataFrame, k: int, floor: float) -> DataFrame:
     """The rows in blocks of the kd-tree, one wide row per block, with the k best in the own block and the search radius.
 
-    ``rows`` has ``provider_ns, entry_key, unit, at, asks``. Leaves with more rows than a block are cut by hash.
+    ``rows`` has ``provider_ns, entry_key, unit, at, asks``. A block holds about ``BLOCK_BYTES`` of vectors; leaves with more rows
+    are cut by hash.
     """
-    counts = {r["provider_ns"]: r["count"] for r in rows.groupBy("provider_ns").count().collect()}  # a row per namespace
+    sizes = rows.groupBy("provider_ns").agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("bytes")).collect()  # a row per namespace
+    fits = {r["provider_ns"]: max(1, BLOCK_BYTES // r["bytes"]) for r in sizes}
     order = Window.partitionBy("provider_ns").orderBy(F.xxhash64("entry_key"), "entry_key")
     picked = rows.select("provider_ns", "entry_key", "at").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= SAMPLE)
     sample = picked.select("provider_ns", "at").toPandas()
+    count = {r["provider_ns"]: r["n"] for r in sizes}
     trees = {}
     for ns, part in sample.groupby("provider_ns"):
-        depth = max(0, math.ceil(math.log2(counts[ns] / BLOCK_ROWS)))
-        trees[ns] = kd_tree(np.stack(part["at"].to_numpy()), min(depth, 10))
+        depth = max(0, math.ceil(math.log2(count[ns] / fits[ns])))
+        trees[ns] = kd_tree(np.stack(part["at"].to_numpy()), depth)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ns, part in batch.groupby("provider_ns"):
-                yield part.assign(leaf=leaves_of(np.stack(part["at"].to_numpy()), trees[ns]))
+                yield part.assign(leaf=leaves_of(np.stack(part["at"].to_numpy()), trees[ns]), fits=fits[ns])
 
-    placed = materialise(rows.mapInPandas(assign, "provider_ns string, entry_key string, unit binary, at array<float>, asks boolean, leaf long"))
-    sizes = placed.groupBy("provider_ns", "leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_parts"))
-    salted = placed.join(sizes, ["provider_ns", "leaf"]).withColumn(
-        "block", F.concat_ws("/", "leaf", F.pmod(F.xxhash64("entry_key"), F.col("_parts")).cast("string"))).drop("_parts", "leaf")
-    bound, widest = chi_square_bound(), math.sqrt(max(0.0, 2 - 2 * floor))
+    placed = materialise(rows.mapInPandas(assign, "provider_ns string, entry_key string, unit binary, at array<float>, asks boolean, leaf long, fits int"))
+    parts = placed.groupBy("provider_ns", "leaf").agg(F.ceil(F.count("*") / F.max("fits")).alias("_parts"))
+    salted = placed.join(parts, ["provider_ns", "leaf"]).withColumn("_part", F.pmod(F.xxhash64("entry_key"), F.col("_parts"))).withColumn(
+        "block", F.concat_ws("/", F.col("leaf").cast("string"), F.col("_part").cast("string"))).drop("_parts", "_part", "fits")
+    widest = math.sqrt(max(0.0, 2 - 2 * floor))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("entry_key")
         units = np.frombuffer(b"".join(part.unit), dtype=np.float32).reshape(len(part), -1)
         ats = np.stack(part["at"].to_numpy()).astype(np.float32)
         i, j, c = best(units, units, k, floor, True)
-        reach = np.full(len(part), widest)
-        full, seen = np.unique(i, return_counts=True)
-        for r in full[seen >= k]:
-            reach[r] = min(widest, math.sqrt(max(0.0, 2 - 2 * c[i == r].min())))
-        reach = (reach * math.sqrt(bound)).astype(np.float32)
-        asks = part["asks"].to_numpy(dtype=bool)
-        keys = part.entry_key.to_numpy()
-        i_ok = asks[i]
+        reach = np.full(len(part), widest, dtype=np.float32)
+        full, first, seen = np.unique(i, return_index=True, return_counts=True)
+        for r, at in zip(full[seen >= k], first[seen >= k]):
+            reach[r] = min(widest, math.sqrt(max(0.0, 2 - 2 * c[at:at + k].min())))
+        asks, keys = part["asks"].to_numpy(dtype=bool), part.entry_key.to_numpy()
+        ok = asks[i]
         return pd.DataFrame([{
-            "provider_ns": part.provider_ns.iloc[0], "block": part.block.iloc[0], "n": len(part), "keys": list(keys), "asks": asks.tobytes(), "units": units.tobytes(),
-            "ats": ats.tobytes(), "reach": reach.tobytes(), "lo": list(ats.min(axis=0)), "hi": list(ats.max(axis=0)), "most": float(reach[asks].max()) if asks.any() else -1.0,
-            "mine": list(keys[i[i_ok]]), "near": list(keys[j[i_ok]]), "cosines": list(c[i_ok])}])
+            "provider_ns": part.provider_ns.iloc[0], "block": part.block.iloc[0], "number": zlib.crc32(part.block.iloc[0].encode()) % (1 << 30), "n": len(part), "keys": list(keys),
+            "asks": asks.tobytes(), "units": units.tobytes(), "ats": ats.tobytes(), "reach": reach.tobytes(), "lo": list(ats.min(axis=0)), "hi": list(ats.max(axis=0)),
+            "mine": list(i[ok].astype(np.int32)), "near": list(keys[j[ok]]), "cosines": list(c[ok])}])
 
-    return salted.groupBy("provider_ns", "block").applyInPandas(pack, BLOCK)
+    return salted.drop("leaf").groupBy("provider_ns", "block").applyInPandas(pack, BLOCK)
+
+
+def _probes(wide: DataFrame, boxes: DataFrame, tightened: DataFrame | None) -> DataFrame:
+    """The rows that ask each further block, in projected order: without ``tightened`` the nearest ``FIRST`` blocks of each row, with it
+    all others that the stopping test leaves, by the radius that the rows found so far give (``provider_ns, block, rows, reaches``)."""
+    scale, first = math.sqrt(chi_square_bound()), tightened is None
+    joined = wide.join(F.broadcast(boxes), "provider_ns")
+    joined = joined.withColumns({"rows": F.array().cast("array<int>"), "reaches": F.array().cast("array<float>")}) if first else joined.join(tightened, ["provider_ns", "block"], "left")
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                ats = np.frombuffer(r.ats, dtype=np.float32).reshape(r.n, -1)
+                asks, reach = np.frombuffer(r.asks, dtype=bool), np.frombuffer(r.reach, dtype=np.float32)
+                gaps = np.full((r.n, len(r.boxes)), np.inf, dtype=np.float32)
+                for b, box in enumerate(r.boxes):
+                    if box["block"] != r.block:
+                        gaps[:, b] = np.linalg.norm(np.maximum(np.maximum(np.asarray(box["lo"]) - ats, ats - np.asarray(box["hi"])), 0), axis=1)
+                go = (gaps <= reach[:, None] * scale) & asks[:, None]
+                near = np.argsort(gaps, axis=1, kind="stable")[:, :FIRST]
+                early = np.zeros_like(go)
+                np.put_along_axis(early, near, True, axis=1)
+                if first:
+                    go &= early
+                else:
+                    now = reach.copy()
+                    if r.rows is not None and len(r.rows):
+                        now[np.asarray(r.rows)] = np.minimum(now[np.asarray(r.rows)], np.asarray(r.reaches, dtype=np.float32))
+                    go &= ~early & (gaps <= now[:, None] * scale)
+                units = np.frombuffer(r.units, dtype=np.float32).reshape(r.n, -1)
+                keys = np.asarray(r.keys)
+                for b in np.flatnonzero(go.any(axis=0)):
+                    at = np.flatnonzero(go[:, b])
+                    yield pd.DataFrame([{"provider_ns": r.provider_ns, "target": r.boxes[b]["block"], "part": r.number % max(1, len(r.boxes) // GROUPED), "block": r.block, "n": len(at),
+                                         "rows": at.astype(np.int32), "keys": keys[at], "units": units[at].tobytes()}])
+
+    return joined.select("provider_ns", "block", "number", "n", "keys", "asks", "units", "ats", "reach", "boxes", "rows", "reaches").mapInPandas(route, PROBES)
+
+
+def _verified(probes: DataFrame, wide: DataFrame, k: int, floor: float) -> DataFrame:
+    """The k best rows of the target block for each row that asks it, by true cosines.
+
+    The probes of a target come in parts, each with the rows of about ``GROUPED`` blocks at most, so what meets in a task is bounded.
+    """
+    probes = materialise(probes)
+    asked = probes.select("provider_ns", F.col("target").alias("block"), F.col("part").alias("_part")).distinct()
+    targets = wide.select("provider_ns", "block", "n", "keys", "units").join(asked, ["provider_ns", "block"]).select(
+        F.col("provider_ns").alias("provider_ns"), F.col("block").alias("target"), F.col("_part").alias("part"), "n", "keys", "units")
+
+    def verify(asking: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")})]
+        for t in target.itertuples(index=False):
+            v, near = np.frombuffer(t.units, dtype=np.float32).reshape(t.n, -1), np.asarray(t.keys)
+            for r in asking.itertuples(index=False):
+                i, j, c = best(np.frombuffer(r.units, dtype=np.float32).reshape(r.n, -1), v, k, floor, False)
+                out.append(pd.DataFrame({"provider_ns": r.provider_ns, "block": r.block, "row": np.asarray(r.rows)[i], "entry_key": np.asarray(r.keys)[i], "near": near[j], "cosine": c}))
+        return pd.concat(out)
+
+    key = ["provider_ns", "target", "part"]
+    return probes.groupBy(*key).cogroup(targets.groupBy(*key)).applyInPandas(verify, FOUND)
 
 
 def most_similar(rows: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
     """``provider_ns, entry_key, near, cosine``: the k most similar rows of each asking row, of a cosine of ``floor`` at least.
 
-    ``rows`` comes from :func:`usable`, with a column ``asks``. Ties go to the lesser key.
+    ``rows`` comes from :func:`usable`, with a column ``asks``. Ties go to the lesser key. The search is incremental: own block, then
+    the nearest blocks in the projection, then, by the radius that those leave, the rest until the stopping test holds. Only
+    rows that still ask are sent. ``boxes``, which every task gets, is a row of bounds for each ``BLOCK_BYTES`` of vectors.
     """
     blocks = materialise(blocks_of(rows, k, floor))
-    own = blocks.select("provider_ns", F.explode(F.arrays_zip("mine", "near", "cosines")).alias("x")).select(
-        "provider_ns", F.col("x.mine").alias("entry_key"), "x.near", F.col("x.cosines").alias("cosine"))
-    ends = blocks.select("provider_ns", "block", "lo", "hi", "most")
-    other = ends.select("provider_ns", *[F.col(c).alias(c + "_b") for c in ("block", "lo", "hi", "most")])
-    gap = F.aggregate(F.zip_with(F.zip_with("lo", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))),
-                      F.lit(0.0), lambda s, x: s + x * x)
-    reach = F.greatest("most", "most_b")
-    near = ends.join(other, "provider_ns").filter((F.col("block") < F.col("block_b")) & (reach >= 0) & (F.sqrt(gap) <= reach))
-    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), "block"), F.struct(F.lit(1).alias("side"), F.col("block_b").alias("block")))).alias("_s")
-    sides = near.select("provider_ns", F.concat_ws(":", "block", "block_b").alias("pair"), side).select("provider_ns", "pair", "_s.side", "_s.block")
-    wide = blocks.select("provider_ns", "block", "keys", "asks", "units", "ats", "reach", "n", "lo", "hi")
-
-    def verify(both: pd.DataFrame) -> pd.DataFrame:
-        x, y = sorted(both.itertuples(index=False), key=lambda r: r.side)
-        out = [pd.DataFrame({"provider_ns": [], "entry_key": [], "near": [], "cosine": []})]
-        for r, other_ in ((x, y), (y, x)):
-            u, v, p = (np.frombuffer(m, dtype=np.float32).reshape(n, -1) for m, n in ((r.units, r.n), (other_.units, other_.n), (r.ats, r.n)))
-            off = np.maximum(np.maximum(np.asarray(other_.lo) - p, p - np.asarray(other_.hi)), 0)
-            go = np.flatnonzero((np.linalg.norm(off, axis=1) <= np.frombuffer(r.reach, dtype=np.float32)) & np.frombuffer(r.asks, dtype=bool))
-            if len(go):
-                i, j, c = best(u[go], v, k, floor, False)
-                out.append(pd.DataFrame({"provider_ns": r.provider_ns, "entry_key": np.asarray(r.keys)[go[i]], "near": np.asarray(other_.keys)[j], "cosine": c}))
-        return pd.concat(out)
-
-    far = sides.join(wide, ["provider_ns", "block"]).groupBy("provider_ns", "pair").applyInPandas(verify, FOUND)
+    boxes = blocks.groupBy("provider_ns").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("boxes"))
+    own = blocks.select("provider_ns", "block", "keys", F.explode(F.arrays_zip("mine", "near", "cosines")).alias("x")).select(
+        "provider_ns", "block", F.col("x.mine").alias("row"), F.get("keys", F.col("x.mine")).alias("entry_key"), "x.near", F.col("x.cosines").alias("cosine"))
+    wide = blocks.drop("mine", "near", "cosines")
     order = Window.partitionBy("provider_ns", "entry_key").orderBy(F.desc("cosine"), "near")
-    return own.unionByName(far).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+    top = lambda df: df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+    first = materialise(top(own.unionByName(_verified(_probes(wide, boxes, None), wide, k, floor))))
+    reach = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine"))).cast("float")
+    last = first.filter(F.col("_r") == k).groupBy("provider_ns", "block").agg(F.collect_list(F.struct("row", reach.alias("reach"))).alias("_l"))
+    tightened = last.select("provider_ns", "block", F.col("_l.row").alias("rows"), F.col("_l.reach").alias("reaches"))
+    further = _verified(_probes(wide, boxes, tightened), wide, k, floor)
+    return top(first.drop("_r").unionByName(further)).select("provider_ns", "entry_key", "near", "cosine")
 
 
 def with_copies(rows: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
@@ -207,19 +260,31 @@ def with_copies(rows: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
     see the least ``k`` keys of their class, at cosine 1. So a vector that a third of all entries share costs one search,
     and no list of all its pairs.
     """
-    keyed = rows.withColumn("_v", F.xxhash64("unit"))
-    rep = keyed.groupBy("provider_ns", "_v", "unit").agg(F.min("entry_key").alias("_rep"), F.first("at").alias("at"), F.bool_or("asks").alias("asks"), F.count("*").alias("_n"))
-    members = keyed.join(rep.select("provider_ns", "_v", "unit", "_rep", "_n"), ["provider_ns", "_v", "unit"]).select("provider_ns", "entry_key", "asks", "_rep", "_n")
-    members = materialise(members)
+    keyed = rows.withColumns({"_v": F.xxhash64("unit"), "_w": F.xxhash64(F.lit(1), "unit"), "_salt": _salt("entry_key")})
+    rep = materialise(keyed.groupBy("provider_ns", "_v", "_w").agg(
+        F.min("entry_key").alias("_rep"), F.min(F.struct("unit", "at")).alias("u"), F.bool_or("asks").alias("asks"), F.count("*").alias("_n")))
+    classes = _salted(rep.select("provider_ns", "_v", "_w", "_rep", "_n"))
+    members = materialise(keyed.join(classes, ["provider_ns", "_v", "_w", "_salt"]).select("provider_ns", "entry_key", "asks", "_rep", "_n", "_salt"))
+    rep = rep.select("provider_ns", "_rep", "u.*", "asks")
     found = most_similar(rep.select("provider_ns", F.col("_rep").alias("entry_key"), "unit", "at", "asks"), k, floor)
-    salt = Window.partitionBy("provider_ns", "_rep", F.pmod(F.xxhash64("entry_key"), F.lit(64))).orderBy("entry_key")
+    salt = Window.partitionBy("provider_ns", "_rep", "_salt").orderBy("entry_key")
     whole = Window.partitionBy("provider_ns", "_rep").orderBy("entry_key")
     several = members.filter("_n > 1")
     least = several.withColumn("_r", F.row_number().over(salt)).filter(F.col("_r") <= k + 1).withColumn(
         "_r", F.row_number().over(whole)).filter(F.col("_r") <= k + 1).select("provider_ns", "_rep", F.col("entry_key").alias("near"))
-    inside = several.filter("asks").join(least, ["provider_ns", "_rep"]).filter("near <> entry_key").select("provider_ns", "entry_key", "near", F.lit(1.0).alias("cosine"))
-    first = members.join(least, ["provider_ns", "_rep"], "left").select("provider_ns", F.col("_rep").alias("_near"), F.coalesce("near", "_rep").alias("near")).distinct()
-    outside = found.withColumnsRenamed({"entry_key": "_rep", "near": "_near"}).join(first, ["provider_ns", "_near"])
-    outside = outside.join(members.filter("asks"), ["provider_ns", "_rep"]).select("provider_ns", "entry_key", "near", "cosine")
+    inside = several.filter("asks").join(_salted(least), ["provider_ns", "_rep", "_salt"]).filter("near <> entry_key").select("provider_ns", "entry_key", "near", F.lit(1.0).alias("cosine"))
+    found = found.withColumnsRenamed({"entry_key": "_rep", "near": "_near"})
+    shared = found.join(least.withColumnRenamed("_rep", "_near"), ["provider_ns", "_near"], "left").withColumn("near", F.coalesce("near", "_near"))
+    outside = members.filter("asks").join(_salted(shared), ["provider_ns", "_rep", "_salt"]).select("provider_ns", "entry_key", "near", "cosine")
     order = Window.partitionBy("provider_ns", "entry_key").orderBy(F.desc(F.round("cosine", 6)), "near")
     return inside.unionByName(outside).distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+
+
+def _salt(key: str) -> Column:
+    """The part of a class that a member belongs to."""
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    """A row for each part of a class, to meet the members that are split by it."""
+    return df.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))

@@ -24,9 +24,9 @@ def brute(vectors, k):
     return {keys[i]: {keys[j]: c[i, j] for j in order[i]} for i in range(len(keys))}
 
 
-@pytest.mark.parametrize("rows_per_block", [50, 8192])
+@pytest.mark.parametrize("rows_per_block", [30, 50, 8192])
 def test_against_brute_force(spark, monkeypatch, rows_per_block):
-    monkeypatch.setattr(similar, "BLOCK_ROWS", rows_per_block)
+    monkeypatch.setattr(similar, "BLOCK_BYTES", rows_per_block * 24 * 4)
     rng = np.random.default_rng(3)
     base = rng.standard_normal((300, 24))
     vectors = np.concatenate([base, base[:60] + 0.2 * rng.standard_normal((60, 24)), base[:20] * 7.5])
