@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import importlib
 import os
 from collections.abc import Iterator
 
@@ -11,19 +12,21 @@ from pyspark.sql import functions as F
 
 #: Folder of the tokenizer vocabularies; a parameter, never a copy in this repository.
 VOCABULARY = os.environ.get("CTXSPARK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-_encodings: dict[str, object] = {}
+#: Python module whose ``PATTERN`` says how that vocabulary cuts text before its ranks apply.
+PATTERN_MODULE = os.environ.get("CTXSPARK_PATTERN_MODULE", "public_tokenizers")
+_encodings: dict[tuple[str, str | None], object] = {}
 
 
-def encoding(path: str = VOCABULARY):
-    """The tokenizer of a rank file, read once in each Python worker."""
-    if path not in _encodings:
-        import public_tokenizers
+def encoding(path: str = VOCABULARY, pattern: str | None = None):
+    """The tokenizer of a rank file, read once in each Python worker. ``pattern``: its cutting pattern, if it isn't the module's."""
+    if (path, pattern) not in _encodings:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encodings[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        cut = pattern or importlib.import_module(PATTERN_MODULE).PATTERN
+        _encodings[path, pattern] = tiktoken.Encoding("own", pat_str=cut, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path, pattern]
 
 
 def token_counter(path: str = VOCABULARY):

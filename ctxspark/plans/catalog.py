@@ -70,17 +70,22 @@ PRICED = f"{SCORED}, {RANKED}, priced AS (SELECT *, coalesce(CAST(ceil(length(te
 FOLD = f"fold AS (SELECT query_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, false AS took FROM (SELECT DISTINCT query_id FROM fits) UNION ALL SELECT f.query_id, f.rn, CASE WHEN fold.used + f.tokens <= {BUDGET} THEN fold.used + f.tokens ELSE fold.used END, fold.used + f.tokens <= {BUDGET} FROM fold JOIN fits f ON f.query_id = fold.query_id AND f.rn = fold.rn + 1)"
 
 
-def scored(t: Tables) -> DataFrame:
-    """The distinct scored chunks with their chunk's place and text."""
+PLACE = ["repo_id", "path", "seq", "start_line", "end_line", "is_whole_file"]
+
+
+def scored(t: Tables, extra: dict | None = None) -> DataFrame:
+    """The distinct scored chunks with their chunk's place and text, or instead of the text what ``extra`` makes of it."""
     rows = t.scored_chunks.select("query_id", "chunk_id", "score", "semantic_score", "structural_bonus", "llm_reason", "pinned").distinct()
-    chunks = latest_chunks(t.chunks).select("chunk_id", "repo_id", "path", "seq", "start_line", "end_line", "text", "is_whole_file")
-    return rows.join(chunks, "chunk_id")
+    made = {"text": F.col("text")} if extra is None else extra
+    chunks = latest_chunks(t.chunks.withColumns({f"_{k}": v for k, v in made.items()}), [*PLACE, *[f"_{k}" for k in made]])
+    return rows.join(chunks.withColumnsRenamed({f"_{k}": k for k in made}), "chunk_id")
 
 
-def picked(t: Tables) -> tuple[DataFrame, DataFrame]:
+def picked(t: Tables, texts: bool = False) -> tuple[DataFrame, DataFrame]:
     """All ranked chunks with tokens, and those that the budget takes."""
     order = [("score", "desc"), ("repo_id", "asc"), ("path", "asc"), ("seq", "asc"), ("chunk_id", "asc")]
-    priced = scored(t).filter("score IS NOT NULL AND NOT isnan(score)").withColumn("tokens", surrogate_tokens(F.col("text"))).withColumn("budget", F.lit(BUDGET))
+    made = {"tokens": surrogate_tokens(F.col("text"))} | ({"text": F.col("text")} if texts else {})
+    priced = scored(t, made).filter("score IS NOT NULL AND NOT isnan(score)").withColumn("budget", F.lit(BUDGET))
     narrow = priced.select("query_id", "chunk_id", "tokens", "budget", *[c for c, _ in order[:-1]])
     return priced, budget.selected(narrow, ["query_id"], ["chunk_id"], order)
 
@@ -90,8 +95,9 @@ def picked(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, path, strlen(text) AS size FROM chunk WHERE strlen(text) BETWEEN 1 AND 524288 AND {EXT} NOT IN ({_list(BINARY_EXTENSIONS)}) AND NOT list_has_any(string_split(path, '/'), ['.git', 'node_modules', '.DS_Store']) AND NOT contains(text, chr(0))")
 def candidate_filter(t: Tables) -> DataFrame:
-    c = latest_chunks(t.chunks).withColumn("size", F.octet_length("text").cast("bigint"))
-    return c.filter(filters.admitted(F.col("path"), F.col("size")) & filters.looks_textual(F.col("text").cast("binary"))).select("chunk_id", "path", "size")
+    sized = t.chunks.withColumns({"size": F.octet_length("text").cast("bigint"), "plain": filters.looks_textual(F.col("text").cast("binary"))})
+    c = latest_chunks(sized, ["path", "size", "plain"])
+    return c.filter(filters.admitted(F.col("path"), F.col("size")) & F.col("plain")).select("chunk_id", "path", "size")
 
 
 @query(r"""SELECT DISTINCT repo_id, path FROM chunks WHERE path IS NOT NULL AND NOT (CASE
@@ -149,13 +155,13 @@ def all_chunks(t: Tables) -> DataFrame:
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, start_line - coalesce(max(end_line) OVER (PARTITION BY repo_id, path ORDER BY start_line, end_line, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS gap FROM chunk WHERE end_line IS NOT NULL")
 def chunk_gaps(t: Tables) -> DataFrame:
-    return chunking.line_gaps(latest_chunks(t.chunks).filter("end_line IS NOT NULL"), ["repo_id", "path"]).select("chunk_id", "gap")
+    return chunking.line_gaps(latest_chunks(t.chunks, ["repo_id", "path", "start_line", "end_line"]).filter("end_line IS NOT NULL"), ["repo_id", "path"]).select("chunk_id", "gap")
 
 
 @query(f"WITH RECURSIVE {CHUNKS}, s AS (SELECT repo_id, path, start_line AS s, end_line AS e, row_number() OVER (PARTITION BY repo_id, path ORDER BY start_line, end_line, chunk_id) AS rn FROM chunk WHERE end_line IS NOT NULL), p AS (SELECT repo_id, path, rn, s, e, 1 AS pack FROM s WHERE rn = 1 UNION ALL SELECT s.repo_id, s.path, s.rn, CASE WHEN s.e - p.s + 1 <= 240 THEN p.s ELSE s.s END, s.e, CASE WHEN s.e - p.s + 1 <= 240 THEN p.pack ELSE p.pack + 1 END FROM p JOIN s ON s.repo_id = p.repo_id AND s.path = p.path AND s.rn = p.rn + 1) SELECT repo_id, path, max(s) AS first_line, arg_max(e, rn) AS last_line FROM p GROUP BY repo_id, path, pack")
 def segment_pack(t: Tables) -> DataFrame:
     seg = F.struct(F.col("start_line").alias("s"), F.col("end_line").alias("e"), "chunk_id")
-    files = latest_chunks(t.chunks).filter("end_line IS NOT NULL AND repo_id IS NOT NULL AND path IS NOT NULL").groupBy("repo_id", "path").agg(F.array_sort(F.collect_list(seg)).alias("g"))
+    files = latest_chunks(t.chunks, ["repo_id", "path", "start_line", "end_line"]).filter("end_line IS NOT NULL AND repo_id IS NOT NULL AND path IS NOT NULL").groupBy("repo_id", "path").agg(F.array_sort(F.collect_list(seg)).alias("g"))
     plain = F.transform("g", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
     return files.select("repo_id", "path", F.explode(chunking.packed_segments(plain, 240)).alias("p")).select("repo_id", "path", F.col("p.s").alias("first_line"), F.col("p.e").alias("last_line"))
 
@@ -231,7 +237,8 @@ def vector_by_label(t: Tables) -> DataFrame:
 
 @query(f"WITH {CHUNKS} SELECT chunk_id, sha256('fake' || chr(0) || text) AS entry_key FROM chunk")
 def cache_keys(t: Tables) -> DataFrame:
-    return latest_chunks(t.chunks).select("chunk_id", vector_cache.cache_key(F.lit("fake"), F.col("text")).alias("entry_key"))
+    keyed = t.chunks.withColumn("entry_key", vector_cache.cache_key(F.lit("fake"), F.col("text")))
+    return latest_chunks(keyed, ["entry_key"])
 
 
 @query(f"WITH {CHUNKS}, {ENTRY} SELECT chunk_id, e.entry_key IS NOT NULL AS hit, coalesce(len(e.vector), 0) AS dims FROM chunk c LEFT JOIN entry e ON e.provider_ns = 'openai:text-small-mock' AND e.entry_key = sha256('openai:text-small-mock' || chr(0) || c.text)")
@@ -286,7 +293,8 @@ def resolve_imports(t: Tables) -> DataFrame:
     return graph.resolved_imports(_imports(t), t.chunks.select("repo_id", "path"), ["repo_id"])
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT repo_id, src, dst FROM (SELECT repo_id, src, dst FROM import_edges WHERE edge_kind = 'reexport' UNION ALL SELECT repo_id, dst, src FROM import_edges WHERE edge_kind = 'reexport') WHERE src <> dst),
+ reach AS (SELECT repo_id, src AS path, src AS other FROM e UNION SELECT r.repo_id, r.path, e.dst FROM reach r JOIN e ON e.repo_id = r.repo_id AND e.src = r.other) SELECT repo_id, path, min(other) AS root FROM reach GROUP BY 1, 2""")
 def reexport_groups(t: Tables) -> DataFrame:
     return graph.components(t.import_edges.filter("edge_kind = 'reexport'"), ["repo_id"])
 
@@ -303,7 +311,7 @@ def barrel_closure(t: Tables) -> DataFrame:
 
 @query(f"WITH {SCORED} SELECT query_id, repo_id, path, round(max(semantic_score), 6) AS best FROM scored WHERE semantic_score IS NOT NULL AND NOT isnan(semantic_score) GROUP BY ALL")
 def best_per_file(t: Tables) -> DataFrame:
-    return ranking.best_per_file(scored(t)).withColumn("best", F.round("best", 6))
+    return ranking.best_per_file(scored(t, {})).withColumn("best", F.round("best", 6))
 
 
 SEEDS = "best AS (SELECT query_id, repo_id, path, max(semantic_score) AS best FROM scored WHERE semantic_score IS NOT NULL AND NOT isnan(semantic_score) GROUP BY ALL), seed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, repo_id, path) AS seed_rank FROM best QUALIFY seed_rank <= 3)"
@@ -311,18 +319,18 @@ SEEDS = "best AS (SELECT query_id, repo_id, path, max(semantic_score) AS best FR
 
 @query(f"WITH {SCORED}, {SEEDS} SELECT query_id, repo_id, path, CAST(seed_rank AS INT) AS seed_rank FROM seed")
 def seed_files(t: Tables) -> DataFrame:
-    return ranking.seed_files(scored(t)).select("query_id", "repo_id", "path", "seed_rank")
+    return ranking.seed_files(scored(t, {})).select("query_id", "repo_id", "path", "seed_rank")
 
 
 @query(f"WITH {SCORED}, {SEEDS}, {EDGES}, near AS (SELECT DISTINCT s.query_id, s.repo_id, e.dst AS path, s.seed_rank, s.path AS seed FROM seed s JOIN edge e ON e.repo_id = s.repo_id AND e.src = s.path), linked AS (SELECT query_id, repo_id, path, string_agg(seed, ',' ORDER BY seed_rank) AS connected FROM near GROUP BY 1, 2, 3) SELECT query_id, chunk_id, coalesce(connected, '') AS connected, round(semantic_score + CASE WHEN connected IS NULL THEN 0 ELSE 0.05 END, 6) AS final_score FROM scored LEFT JOIN linked USING (query_id, repo_id, path)")
 def structural_bonus(t: Tables) -> DataFrame:
-    b = ranking.structural_bonus(scored(t), graph.undirected(t.import_edges, ["repo_id"]))
+    b = ranking.structural_bonus(scored(t, {}), graph.undirected(t.import_edges, ["repo_id"]))
     return b.select("query_id", "chunk_id", F.array_join("connected", ",").alias("connected"), F.round("final_score", 6).alias("final_score"))
 
 
 @query(f"WITH {SCORED}, {RANKED} SELECT query_id, chunk_id, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 20")
 def final_rank(t: Tables) -> DataFrame:
-    return ranking.ranked(scored(t), "score", 20).select("query_id", "chunk_id", "rank")
+    return ranking.ranked(scored(t, {}), "score", 20).select("query_id", "chunk_id", "rank")
 
 
 def _keywords_sql(text: str) -> str:
@@ -359,7 +367,7 @@ def budget_select(t: Tables) -> DataFrame:
 
 @query(f"WITH {SCORED}, p AS (SELECT query_id, sum(coalesce(CAST(ceil(length(text) / 4.0) AS BIGINT), 0)) AS used FROM scored WHERE pinned GROUP BY 1) SELECT query_id, CAST(greatest({BUDGET} - coalesce(used, 0), 0) AS BIGINT) AS budget FROM (SELECT DISTINCT query_id FROM scored_chunks) LEFT JOIN p USING (query_id)")
 def pinned_budget(t: Tables) -> DataFrame:
-    pins = scored(t).filter("pinned").withColumn("tokens", surrogate_tokens(F.col("text")))
+    pins = scored(t, {"tokens": surrogate_tokens(F.col("text"))}).filter("pinned")
     all_queries = t.scored_chunks.select("query_id").distinct().withColumn("budget", F.lit(BUDGET))
     return budget.after_pins(pins, all_queries, ["query_id"]).select("query_id", F.col("budget").cast("bigint").alias("budget"))
 
@@ -372,10 +380,18 @@ def token_savings(t: Tables) -> DataFrame:
     return total.join(sums, "query_id", "left").fillna(0, ["taken"]).withColumn("saved", F.round(1 - F.col("taken") / F.col("all_tokens"), 6))
 
 
-@query(f"WITH {SCORED} SELECT query_id, chunk_id, CASE WHEN pinned THEN 'pinned (always included)' ELSE 'score ' || printf('%.3f', round(score, 3)) || ' (' || CASE WHEN structural_bonus > 0 THEN 'semantic ' || printf('%.3f', round(semantic_score, 3)) ELSE 'semantic match' END || CASE WHEN llm_reason <> '' THEN '; relevance check: ' || llm_reason ELSE '' END || ')' END AS why FROM scored WHERE score IS NOT NULL AND NOT isnan(score)")
+LINKED = "linked AS (SELECT query_id, chunk_id, arg_max(connected_to, list_transform(connected_to, lambda x: coalesce(x, ''))) AS connected_to FROM scored_chunks WHERE connected_to IS NOT NULL GROUP BY 1, 2)"
+
+
+@query(f"WITH {SCORED}, {LINKED} SELECT query_id, chunk_id, CASE WHEN pinned THEN 'pinned (always included)' ELSE 'score ' || printf('%.3f', round(score, 3)) || ' (' || CASE WHEN structural_bonus > 0 THEN 'semantic ' || printf('%.3f', round(semantic_score, 3)) || ' + connected to ' || array_to_string(list_transform(connected_to, lambda x: '`' || x || '`'), ', ') ELSE 'semantic match' END || CASE WHEN llm_reason <> '' THEN '; relevance check: ' || llm_reason ELSE '' END || ')' END AS why FROM scored LEFT JOIN linked USING (query_id, chunk_id) WHERE score IS NOT NULL AND NOT isnan(score)")
 def explain_why(t: Tables) -> DataFrame:
-    rows = scored(t).filter("score IS NOT NULL AND NOT isnan(score)").withColumn("connected_to", F.array().cast("array<string>"))
-    return rows.select("query_id", "chunk_id", F.replace(render.why(), F.lit(" + connected to "), F.lit("")).alias("why"))
+    rows = scored(t, {}).filter("score IS NOT NULL AND NOT isnan(score)").join(_links(t), ["query_id", "chunk_id"], "left")
+    return rows.select("query_id", "chunk_id", render.why().alias("why"))
+
+
+def _links(t: Tables) -> DataFrame:
+    """The links of each scored chunk; of several lists the greatest."""
+    return t.scored_chunks.filter("connected_to IS NOT NULL").groupBy("query_id", "chunk_id").agg(F.max("connected_to").alias("connected_to"))
 
 
 @query(f"WITH {CHUNKS}, c AS (SELECT repo_id, path, start_line, coalesce(seq, -1) AS seq, chunk_id, (CASE WHEN coalesce(is_whole_file, false) THEN '' ELSE '_lines ' || start_line || '-' || end_line || '_' || chr(10) || chr(10) END) || '```' || coalesce(map_extract(MAP {{{', '.join(f'{chr(39)}{k}{chr(39)}: {chr(39)}{v}{chr(39)}' for k, v in FENCE_LANGUAGES.items())}}}, {EXT})[1], '') || chr(10) || text || chr(10) || '```' || chr(10) AS b FROM chunk WHERE text IS NOT NULL AND end_line IS NOT NULL) SELECT repo_id, path, string_agg(b, chr(10) ORDER BY start_line, seq, chunk_id) AS content FROM c GROUP BY 1, 2")
@@ -386,9 +402,8 @@ def content_by_file(t: Tables) -> DataFrame:
 @query()
 def context_bundles(t: Tables) -> DataFrame:
     """Bundles of the given scores: the stages from the budget on."""
-    priced, taken = picked(t)
-    links = t.scored_chunks.select("query_id", "chunk_id", "connected_to").dropDuplicates(["query_id", "chunk_id"])
-    chosen = priced.dropDuplicates(["query_id", "chunk_id"]).drop("tokens").join(taken, ["query_id", "chunk_id"]).join(links, ["query_id", "chunk_id"]).withColumn("rank", F.col("cum_tokens"))
+    priced, taken = picked(t, True)
+    chosen = priced.dropDuplicates(["query_id", "chunk_id"]).drop("tokens").join(taken, ["query_id", "chunk_id"]).join(_links(t), ["query_id", "chunk_id"], "left").withColumn("rank", F.col("cum_tokens"))
     sums = chosen.groupBy("query_id").agg(F.sum("tokens").alias("tokens_used"), F.count("*").alias("n_selected"))
     totals = priced.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("repo_id").alias("repo")).join(sums, "query_id", "left").fillna(0, ["tokens_used", "n_selected"])
     totals = totals.select("query_id", F.lit(TASK).alias("task"), "repo", F.lit(BUDGET).alias("budget"), "tokens_used", "n_selected", (F.col("_n") - F.col("n_selected")).alias("n_skipped"))
@@ -397,12 +412,16 @@ def context_bundles(t: Tables) -> DataFrame:
 
 @query()
 def compiled_context(t: Tables) -> DataFrame:
-    """The whole pipeline: the tasks of the usage log against the files of their repositories."""
-    tasks = usage.latest_entries(t.run_metrics).filter("entry_type = 'run' AND task IS NOT NULL AND budget_tokens IS NOT NULL").groupBy("repo_id", "task").agg(
-        F.min("entry_id").alias("query_id"), F.max("budget_tokens").alias("budget"))
+    """The whole pipeline: the tasks of the usage log against the files of their repositories, with the pinned chunks' files pinned.
+
+    A task without a budget has the default one; a task without a repository sees all.
+    """
+    tasks = usage.latest_entries(t.run_metrics).filter("entry_type = 'run' AND task IS NOT NULL").groupBy("repo_id", "task").agg(
+        F.min("entry_id").alias("query_id"), F.coalesce(F.max("budget_tokens"), F.lit(BUDGET)).alias("budget"))
+    pins = t.scored_chunks.filter("pinned").select("chunk_id").distinct().join(latest_chunks(t.chunks, ["repo_id", "path"]), "chunk_id").select("repo_id", "path").distinct()
     files = chunking.assembled_files(latest_chunks(t.chunks), ["repo_id", "path"])
     closure = graph.reexport_closure(t.import_edges.filter("edge_kind = 'reexport'"), ["repo_id"])
-    return pipeline.compiled_by_repo(files, tasks.filter("repo_id IS NOT NULL"), graph.with_barrels(t.import_edges, closure, ["repo_id"]))[0]
+    return pipeline.compiled_by_repo(files, tasks, graph.with_barrels(t.import_edges, closure, ["repo_id"]), pins=pins)[0]
 
 
 # --- usage log ---
@@ -427,12 +446,13 @@ def metrics_by_day(t: Tables) -> DataFrame:
     return usage.summary(days, ["day"])
 
 
-@query()
+@query("""WITH one AS (SELECT * FROM run_metrics WHERE entry_id IS NOT NULL AND logged_at IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY logged_at) = 1)
+ SELECT strftime(logged_at, '%Y-%m-%d') AS day, count(*) FILTER (entry_type = 'run') AS runs, count(*) FILTER (entry_type = 'feedback' AND lower(trim(outcome)) = 'hit') AS hits, count(*) FILTER (entry_type = 'feedback' AND lower(trim(outcome)) = 'miss') AS misses FROM one GROUP BY 1""")
 def metrics_stream(t: Tables) -> DataFrame:
     stream = log_stream(t.spark, f"{t.folder}/run_metrics.parque*", t.run_metrics.schema)
-    return drained(windowed_usage(stream))
+    return drained(windowed_usage(stream)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query(f"WITH {CHUNKS} SELECT count(*) AS files, CAST(sum(n) AS BIGINT) AS chunks, max(n) AS most_chunks, max(lines) AS most_lines FROM (SELECT count(*) AS n, max(end_line) AS lines FROM chunk GROUP BY repo_id, path)")
 def stress_totals(t: Tables) -> DataFrame:
-    return pipeline.coverage(latest_chunks(t.chunks))
+    return pipeline.coverage(latest_chunks(t.chunks, ["repo_id", "path", "end_line"]))

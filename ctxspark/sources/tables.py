@@ -16,11 +16,15 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def latest_chunks(chunks: DataFrame) -> DataFrame:
-    """One row per ``chunk_id``, the one loaded last (ties: the greatest text). Null ids are dropped."""
-    rest = [c for c in chunks.columns if c not in ("chunk_id", "loaded_at")]
-    newest = F.max_by(F.struct("loaded_at", *rest), F.struct(F.col("loaded_at"), F.col("text"))).alias("r")
-    return chunks.filter("chunk_id IS NOT NULL").groupBy("chunk_id").agg(newest).select("chunk_id", "r.*")
+def latest_chunks(chunks: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One row per ``chunk_id``, the one loaded last (ties: the greatest hash of the text). Null ids are dropped.
+
+    ``keep``: the columns that are needed beside the id, so that a query that needs no text doesn't shuffle any.
+    """
+    rest = ["loaded_at", *[c for c in chunks.columns if c not in ("chunk_id", "loaded_at")]] if keep is None else keep
+    order = F.struct(F.col("loaded_at"), F.xxhash64("text"))
+    rows = chunks.filter("chunk_id IS NOT NULL").select("chunk_id", F.struct(*rest).alias("r"), order.alias("_o"))
+    return rows.groupBy("chunk_id").agg(F.max_by("r", "_o").alias("r")).select("chunk_id", "r.*")
 
 
 def documents_as_files(documents: DataFrame) -> DataFrame:

@@ -297,3 +297,57 @@ def test_pipeline_cuts_by_syntax_and_caps_tokens(spark):
     large = rows(chunks.filter("path = 'b.txt'").select("seq", "chunk_text", "is_whole_file"), "seq")
     assert len(large) > 1 and "".join(t for _, t, _ in large) == "word " * 30_000 and not any(w for *_, w in large) and all(len(t) <= 32_000 for _, t, _ in large)
     assert [r.is_whole_file for r in chunks.filter("path = 'c.txt'").collect()] == [True]
+
+
+def test_pipeline_pins_and_judging(spark):
+    texts = {"a.ts": "login check", "b.ts": "zzz " * 4, "README.md": "# Title\nwords\n", "c.ts": "login form"}
+    files = spark.createDataFrame([("r", p, t) for p, t in texts.items()] + [("s", "x.ts", "login")], "repo_id string, path string, text string")
+    pins = spark.createDataFrame([("r", "README.md"), ("r", "gone.md"), (None, "b.ts")], "repo_id string, path string")
+    tasks = spark.createDataFrame([(1, "login", "r", 1000), (2, "login", None, 6), (3, "login", "s", 1000), (4, "login", "r", 2)], "query_id long, task string, repo_id string, budget long")
+    edges = spark.createDataFrame([], EDGES)
+    bundles, chosen = pipeline.compiled(files, tasks, edges, pins=pins)
+    got = {q: [(r.path, r.pinned) for r in sorted(chosen.filter(f"query_id = {q}").collect(), key=lambda r: r.rank)] for q in (1, 2, 3, 4)}
+    assert got[1] == [("README.md", True), ("c.ts", False), ("a.ts", False)] or got[1] == [("README.md", True), ("a.ts", False), ("c.ts", False)]
+    assert got[2] == [("README.md", True), ("x.ts", False)] and got[3] == [("x.ts", False)] and got[4] == [("README.md", True)]  # pins come in whatever the budget
+    text = {r.query_id: r.bundle for r in bundles.collect()}
+    assert "`README.md` (lines 1-2) — pinned (always included)" in text[1] and "(1 excluded by relevance check)" in text[1] and "**Tokens used:** 10" in text[1]
+    assert text[1].endswith("- `b.ts` (lines 1-1) — no keyword overlap with the task\n") and "## Excluded by relevance check\n\n_These looked" in text[1]
+    assert "Excluded" not in text[3]
+    plain, all_chosen = pipeline.compiled(files, tasks, edges, judge=None)
+    assert {r.path for r in all_chosen.filter("query_id = 1").collect()} == set(texts) and not any("Excluded" in r.bundle for r in plain.collect())
+    scores = lambda chunks, tasks, key, text: chunks.filter("path = 'b.ts'").select(F.lit(1).cast("bigint").alias("query_id"), *key, F.lit(0.9).alias("semantic_score"))
+    _, own = pipeline.compiled(files, tasks.filter("query_id = 1"), edges, judge=None, scorer=scores)
+    assert own.orderBy("rank").first().path == "b.ts"
+
+
+def test_budget_takes_rows_without_tokens_beside_the_fold(spark):
+    rows_ = [(1, i, 0 if i % 3 else 4, 10, float(-i)) for i in range(30)] + [(2, 99, 0, 0, 1.0), (3, 98, 0, 5, 1.0)]
+    df = spark.createDataFrame(rows_, "query_id long, chunk_id long, tokens long, budget long, score double")
+    got = {(r.query_id, r.chunk_id): r.cum_tokens for r in budget.selected(df, ["query_id"], ["chunk_id"], [("score", "desc"), ("chunk_id", "asc")]).collect()}
+    want, used = {}, 0
+    for i in range(30):
+        size = 0 if i % 3 else 4
+        if used + size <= 10:
+            used += size
+            want[1, i] = used
+    assert got == want | {(3, 98): 0}
+
+
+def test_chains_of_any_length_are_followed(spark):
+    chain = spark.createDataFrame([("r", f"f{i:03}", f"f{i + 1:03}") for i in range(70)] + [("r", "f070", "f068")], EDGES)
+    closure = graph.reexport_closure(chain, ["repo_id"])
+    assert closure.filter("src = 'f000'").count() == 70
+    assert {r.root for r in graph.components(chain, ["repo_id"]).collect()} == {"f000"}
+
+
+def test_imports_in_long_clauses_and_after_patterns():
+    names = ", ".join(f"name{i}" for i in range(90))
+    text = f"import {{ {names} }} from './x';\nconst r = /\"/;\nimport b from \"./b\"\nexport const q = 1\nimport c from './c'\nexport * from './d';\nconst e = require('./e'), g = await import( './g' )\nimport './h';\n// from './no'\nconst s = 'require(x)';\nf.import('zz'); const t = `from './n' ${{u('k')}}`\n"
+    assert source_imports("a.ts", text) == (["./x", "./b", "./c", "./e", "./g", "./h"], ["./d"])
+    assert source_imports("a.py", "import a.b\nfrom c.d import e\nx = = 1\n") == (["a/b", "c/d"], [])
+    assert len(source_imports("a.js", "import a from './a'\n" + "x = f('s') + 1\n" * 50_000)[0]) == 1
+
+
+def test_latest_chunks_keeps_what_is_asked(spark):
+    df = spark.createDataFrame([(1, "a", 1, "old"), (1, "b", 2, "new"), (1, "b", 2, "new"), (None, "c", 1, "x"), (2, "d", None, None)], "chunk_id long, path string, loaded_at int, text string")
+    assert rows(latest_chunks(df, ["path"]), "chunk_id") == [(1, "b"), (2, "d")] and sorted(latest_chunks(df).columns) == ["chunk_id", "loaded_at", "path", "text"]
