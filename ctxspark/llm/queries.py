@@ -48,7 +48,7 @@ def p2_reasons(t: Tables) -> DataFrame:
 @query
 def p4_found(t: Tables) -> DataFrame:
     """Natural cut lines of the chunks above the size limit."""
-    return splitting.natural_cuts(splitting.oversized(t.chunks))
+    return splitting.natural_cuts(splitting.boundary_table(splitting.oversized(t.chunks)))
 
 
 @query

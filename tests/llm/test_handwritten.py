@@ -31,7 +31,7 @@ def test_shared_subtrees(spark):
 
 def test_copies_with_other_headers_names_and_places(spark):
     lib = "".join(f"def helper_{i}(value, table):\n    found = table.get(value, {i})\n    return found * {i + 3}\n\n\n" for i in range(12))
-    mine = "".join(f"def own_{i}(row):\n    total = row['t{i}'] + {i}\n    return total / {i + 1}\n\n\n" for i in range(12))
+    mine = "".join(f"def own_{i}(row):\n    total_amount = row['t{i}'] + {i}\n    return total_amount / {i + 1}\n\n\n" for i in range(12))
     files = [
         ("a", "x/lib/one.py", 1, "# Copyright a\n" + lib), ("b", "y/two.py", 1, "# some other header\n# of two lines\n" + lib.replace("    found", "\tfound").replace("\n\n\n", "\n\n# note\n\n")),
         ("c", "z.py", 1, lib + mine[:len(mine) // 3]), ("d", "w.py", 1, lib[:len(lib) // 4] + mine.replace("own", "other")), ("a", "app.py", 1, mine.replace("own", "first")), ("b", "app.py", 1, mine.replace("own", "second")),
