@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hash bits of each level; three levels tell single texts apart.
+from ctxspark.session import materialise
+
+#: Hash bits of each level; the levels together tell single texts apart.
 BITS, LEVELS = 12, 4
 
 
@@ -44,11 +46,13 @@ def drawn(items: DataFrame, targets: DataFrame) -> DataFrame:
         passes[s] = int(total * share / whole / totals[s] + 1e-12)
         rest[s] = total * share / whole - passes[s] * totals[s]
         prefix[s] = 0
-    bound = dict(prefix)
+    bound, near = dict(prefix), rows
     for level in range(1, LEVELS + 1):
         shift = BITS * (LEVELS - level)
         edge = spark.createDataFrame([(s, p) for s, p in prefix.items()], "source string, _p long")
-        near = rows if level == 1 else rows.join(F.broadcast(edge), "source").filter(F.shiftright("_h", shift + BITS) == F.col("_p"))
+        if level > 1:  # only the boundary buckets go on
+            inside = near.select("source", "_h", "tokens").join(F.broadcast(edge), "source").filter(F.shiftright("_h", shift + BITS) == F.col("_p")).drop("_p")
+            near = materialise(inside, replaces=near if level > 2 else None)
         counts = near.groupBy("source", F.shiftright("_h", shift).alias("b")).agg(F.sum("tokens").alias("n")).collect()  # 2^BITS per target at most
         by = {s: sorted((r["b"], r["n"]) for r in counts if r["source"] == s) for s in prefix}
         for s, buckets in by.items():
