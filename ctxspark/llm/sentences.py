@@ -34,6 +34,7 @@ HEADING = re.compile(r"([ \t]{0,3}#{1,6}[ \t]+)(.*?)(?:[ \t]+#+)?[ \t\r]*$")
 ITEM = re.compile(r"[ \t]*(?:>[ \t]*)*(?:[-*+•‣◦][ \t]+|\d{1,9}[.)][ \t]+)+(?:\[[ xX]\][ \t]+)?")
 RULE = re.compile(r"[ \t]{0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|=+[ \t]*|-+[ \t]*)\r?$")
 QUOTE = re.compile(r"[ \t]*(?:>[ \t]?)+")
+MAY_FENCE, MAY_ITEM = "`~>", "-*+•‣◦>"
 CODE_SPAN = re.compile(r"(`+)(?!`)[^\n]*?(?:\n[^\n]+?)?(?<!`)\1(?!`)")
 URL = re.compile(r"(?:https?|ftp)://[^\s<>\"“”«»「」（）。！？]+")
 CANDIDATE = re.compile(r"[.!?؟۔।॥‼⁇⁈⁉։።。！？｡︒]+(?:[   ]?[!?؟]+)*")
@@ -56,24 +57,25 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
 
     for line in text.split("\n"):
         end = at + len(line)
-        m = FENCE.match(line)
+        mark = line.lstrip()[:1]  # what a line is begins with few signs; the patterns run only on those
+        m = FENCE.match(line) if mark in MAY_FENCE else None
         if fence:
             if m and m[1].startswith(fence) and not line[m.end():].strip():
                 fence = ""
         elif m and not (m[1][0] == "`" and "`" in line[m.end():]):
             close()
             fence = m[1]
-        elif not line.strip():
+        elif not mark:
             close()
-        elif h := HEADING.match(line):
+        elif mark == "#" and (h := HEADING.match(line)):
             close()
             if h[2].strip():
                 out.append((at + h.start(2), at + h.start(2) + len(h[2].rstrip()), True))
-        elif RULE.match(line) and (start < 0 or line.strip()[0] in "=-"):
+        elif mark in "-*_=" and RULE.match(line) and (start < 0 or mark in "=-"):
             close(start >= 0 and not item)
             item = False
         else:
-            m = ITEM.match(line)
+            m = ITEM.match(line) if mark in MAY_ITEM or mark.isdigit() else None
             if m and start >= 0 and not item and (n := re.search(r"\d+", m[0])) and n[0] != "1":
                 m = None  # only a list that starts with 1 may follow a paragraph's line
             item = bool(m) or item and start >= 0
@@ -81,7 +83,7 @@ def blocks(text: str) -> list[tuple[int, int, bool]]:
                 close()
                 lead = m.end()
             else:
-                q = QUOTE.match(line)
+                q = QUOTE.match(line) if mark == ">" else None
                 lead = q.end() if q else len(line) - len(line.lstrip())
             body = line.rstrip()
             if start < 0 and len(body) > lead:
@@ -126,13 +128,17 @@ def last_token(s: str, end: int | None = None) -> str:
     return token_class(s[at:end]) if at < end else ""
 
 
+BRACKETS = re.compile("[" + re.escape("".join({*OPENERS, *OPENERS.values(), *")）]】」』”»", '"'})) + "]")
+
+
 def quoted_depth(block: str) -> list[tuple[int, int]]:
     """``(start, end)`` of the outermost quotations and brackets; marks without a partner don't count."""
     spans, stack = [], []
-    straight = [i for i, c in enumerate(block) if c == '"']
+    straight = [m.start() for m in re.finditer('"', block)]
     pair = dict(zip(straight[::2], straight[1::2]))
     ends = set(pair.values())
-    for i, c in enumerate(block):
+    for m in BRACKETS.finditer(block):
+        i, c = m.start(), m[0]
         if i in pair:
             stack.append(('"', i))
         elif i in ends:
@@ -215,7 +221,7 @@ def candidates(block: str) -> list[tuple[int, int, int, int, str, str]]:
         wide = mark in CJK_MARKS
         if not gap and not wide:
             continue
-        lower = small_word(block, nxt)
+        lower = block[nxt].islower() and small_word(block, nxt)
         k = nxt
         while k < n and block[k] in "“„«\"'(¿¡[":
             k += 1
@@ -349,15 +355,17 @@ def sentences(documents: DataFrame) -> DataFrame:
 
     half = TRAINING_ROWS // 2
 
-    def pick(df: DataFrame) -> DataFrame:
-        """At most half of the training rows, by hash; thinned by count first, so that no task sorts more than about those."""
-        share = min(1.0, 1.5 * half / max(df.count(), 1))
-        return df.filter(F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000).orderBy("_h", "x").limit(half)
+    def weights_of(rows: DataFrame) -> np.ndarray | None:
+        """Weights fitted on rows ``x, y, _h``: at most half of the training rows of each label, picked by hash.
 
-    def weights_of(good: DataFrame, bad: DataFrame) -> np.ndarray | None:
-        labelled = pick(good).select("x", F.lit(1.0).alias("y")).unionByName(pick(bad).select("x", F.lit(0.0).alias("y"))).toPandas()
-        if not 0 < labelled.y.sum() < len(labelled):
+        They are thinned by their count first, so that no task sorts more than about those.
+        """
+        counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+        if len(counts) < 2:
             return None
+        share = F.when(F.col("y") > 0, min(1.0, 1.5 * half / counts[1.0])).otherwise(min(1.0, 1.5 * half / counts[0.0]))
+        thin = materialise(rows.filter(F.pmod("_h", F.lit(1_000_000)) < share * 1_000_000))
+        labelled = pd.concat([thin.filter(F.col("y") == y).orderBy("_h", "x").limit(half).toPandas() for y in (1.0, 0.0)])
         return fitted(np.stack(labelled.x.to_numpy()), labelled.y.to_numpy())
 
     each = found.select("doc_id", "start_char", F.explode(F.arrays_zip("ends", "nexts", "labels", "flags", "befores", "afters")).alias("c")).select(
@@ -365,14 +373,13 @@ def sentences(documents: DataFrame) -> DataFrame:
         F.col("c.befores").alias("before"), F.col("c.afters").alias("after"), F.xxhash64("doc_id", "c.ends").alias("_h"))
     stops = materialise(with_features(each.filter("before <> '' OR after <> ''"), 0).select("doc_id", "start_char", "end", "next", "label", "flags", "x", "_h"))
     edges = found.filter("last <> '' AND following <> ''").select(F.col("last").alias("before"), F.col("following").alias("after"), F.xxhash64("doc_id", "end_char").alias("_h"))
-    by_tokens = weights_of(with_features(edges, 1), stops.filter("label = -1"))
+    by_tokens = weights_of(with_features(edges, 1).select("x", F.lit(1.0).alias("y"), "_h").unionByName(stops.filter("label = -1").select("x", F.lit(0.0).alias("y"), "_h")))
     verdict = F.lit(0.0) if by_tokens is None else dot(F.col("x"), by_tokens)
     verdict = F.greatest(F.least(verdict, F.lit(8.0)), F.lit(-8.0))
     shaped = lambda df, tokens: df.withColumn("_t", tokens).withColumn("x", F.array(*shape(F.col("flags"), F.col("_t"))))
     every = shaped(stops, verdict).unionByName(shaped(each.filter("before = '' AND after = ''").drop("before", "after"), F.lit(0.0)))
-    good = every.filter(f"label = 1 OR label = 0 AND _t > {SURE}")
-    bad = every.filter(f"label = -1 OR label = 0 AND _t < -{SURE}")
-    by_shape = weights_of(good, bad)
+    sure = F.when((F.col("label") == 1) | (F.col("label") == 0) & (F.col("_t") > SURE), 1.0).when((F.col("label") == -1) | (F.col("_t") < -SURE), 0.0)
+    by_shape = weights_of(every.select("x", sure.alias("y"), "_h").filter("y IS NOT NULL"))
     cuts = every.filter("label = 1") if by_shape is None else every.filter(dot(F.col("x"), by_shape) > 0)
     if by_shape is None and by_tokens is None:
         cuts = every.filter("label >= 0")
