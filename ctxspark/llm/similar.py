@@ -260,7 +260,7 @@ def with_copies(rows: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
     see the least ``k`` keys of their class, at cosine 1. So a vector that a third of all entries share costs one search,
     and no list of all its pairs.
     """
-    keyed = rows.withColumns({"_v": F.xxhash64("unit"), "_w": F.xxhash64(F.lit(1), "unit"), "_salt": _salt("entry_key")})
+    keyed = materialise(rows.withColumns({"_v": F.xxhash64("unit"), "_w": F.xxhash64(F.lit(1), "unit"), "_salt": _salt("entry_key")}))
     rep = materialise(keyed.groupBy("provider_ns", "_v", "_w").agg(
         F.min("entry_key").alias("_rep"), F.min(F.struct("unit", "at")).alias("u"), F.bool_or("asks").alias("asks"), F.count("*").alias("_n")))
     classes = _salted(rep.select("provider_ns", "_v", "_w", "_rep", "_n"))
