@@ -40,6 +40,7 @@ URL = re.compile(r"(?:https?|ftp)://[^\s<>\"“”«»「」（）。！？]+")
 CANDIDATE = re.compile(r"[.!?؟۔।॥‼⁇⁈⁉։።。！？｡︒]+(?:[   ]?[!?؟]+)*")
 THAI = "฀-๿຀-໿ក-៿က-႟"
 THAI_GAP = re.compile(rf"(?<=[{THAI}ฯๆ])[ \t\n\r ]+(?=[{THAI}])")
+THAI_ANY = re.compile(rf"[{THAI}]")
 MIXED_GAP = re.compile(rf"(?<=[{THAI}ฯๆ])[ \t\n\r]+(?=[A-Za-z0-9])")
 SMALL = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*(?=\s|[,.;:!?)\]»”\"…]+(?:\s|$)|$)")
 
@@ -119,13 +120,12 @@ def first_token(s: str, at: int = 0) -> str:
 
 def last_token(s: str, end: int | None = None) -> str:
     """The class of the last token of a text that ends before a stop."""
-    end = len(s) if end is None else end
-    while end > 0 and s[end - 1].isspace():
-        end -= 1
-    at = end
-    while at > 0 and not s[at - 1].isspace():
-        at -= 1
-    return token_class(s[at:end]) if at < end else ""
+    end, width = len(s) if end is None else end, 64
+    while True:  # a longer look back where one token fills it
+        words = s[max(0, end - width):end].split()
+        if len(words) > 1 or width >= end:
+            return token_class(words[-1]) if words else ""
+        width *= 8
 
 
 BRACKETS = re.compile("[" + re.escape("".join({*OPENERS, *OPENERS.values(), *")）]】」』”»", '"'})) + "]")
@@ -238,12 +238,21 @@ def candidates(block: str) -> list[tuple[int, int, int, int, str, str]]:
             out.append((end, nxt, -1, flags, "", ""))
         else:
             out.append((end, nxt, -1 if lower else 0, flags, last_token(block, i), first_token(block, nxt)))
+    if not block.isascii() and THAI_ANY.search(masked):
+        out += thai_gaps(masked, spans)
+    return sorted(out)
+
+
+def thai_gaps(masked: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, int, int, str, str]]:
+    """The candidates of scripts without marks: white space between their letters, and before others."""
+    out = []
     for m in THAI_GAP.finditer(masked):
         if not any(s < m.start() < e for s, e in spans):
             out.append((m.start(), m.end(), 1, BLANK_ONLY | GAP | UNSPACED, "", ""))
     for m in MIXED_GAP.finditer(masked):
-        out.append((m.start(), m.end(), -1, BLANK_ONLY | GAP | DIGIT_NEXT * block[m.end()].isdigit() | CAPITAL_NEXT * block[m.end()].isupper(), "", ""))
-    return sorted(out)
+        after = masked[m.end()]
+        out.append((m.start(), m.end(), -1, BLANK_ONLY | GAP | DIGIT_NEXT * after.isdigit() | CAPITAL_NEXT * after.isupper(), "", ""))
+    return out
 
 
 BLOCKS = (
