@@ -9,11 +9,12 @@ projected distance while that is below the bound times the chi-square quantile;
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,8 +24,10 @@ from ctxspark.session import materialise
 PROJECTED, SEED = 8, 20240607
 #: Rows per namespace that the kd-tree is fitted on; every row is indexed.
 SAMPLE = 20_000
-#: Vectors in a block; blocks that a row asks before its radius is tightened; blocks whose askers meet in one task.
-BLOCK_BYTES, FIRST, GROUPED = 4 << 20, 2, 4
+#: Vectors in a block, and in a slice of it, which is what a row of a table holds; cosines at hand at once.
+BLOCK_BYTES, SLICE_BYTES, CELLS = 4 << 20, 1 << 18, 2 << 20
+#: Blocks that a row asks before its radius is tightened; neighbouring blocks that ask, or are asked, in one task.
+FIRST, GROUPED = 2, 4
 #: Parts into which the members of one class fall.
 SALTS = 16
 #: Probability with which the stopping test keeps a true neighbour.
@@ -95,8 +98,9 @@ def leaves_of(points: np.ndarray, splits: list[tuple[int, float]]) -> np.ndarray
 def best(a: np.ndarray, b: np.ndarray, k: int, floor: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(row of a, row of b, cosine)``: the k best rows of ``b`` for each row of ``a``, none below ``floor``, itself left out."""
     rows, cols, cosines = [], [], []
-    for s in range(0, len(a), 1024):
-        c = a[s:s + 1024] @ b.T
+    step = max(16, CELLS // max(1, len(b)))
+    for s in range(0, len(a), step):
+        c = a[s:s + step] @ b.T
         if same:
             c[np.arange(len(c)), np.arange(s, s + len(c))] = -2
         if floor > -1:
@@ -117,18 +121,18 @@ def best(a: np.ndarray, b: np.ndarray, k: int, floor: float, same: bool) -> tupl
     return join(rows, np.int64), join(cols, np.int64), join(cosines, np.float64)
 
 
-FOUND = "provider_ns string, block string, row int, entry_key string, near string, cosine double"
+FOUND = "provider_ns string, block string, slice int, row int, entry_key string, near string, cosine double"
 BLOCK = (
-    "provider_ns string, block string, number int, n int, keys array<string>, asks binary, units binary, ats binary, reach binary, lo array<float>, hi array<float>, "
+    "provider_ns string, block string, leaf long, part long, slice int, n int, keys array<string>, asks binary, units binary, ats binary, reach binary, lo array<float>, hi array<float>, "
     "mine array<int>, near array<string>, cosines array<double>")
-PROBES = "provider_ns string, target string, part int, block string, n int, rows array<int>, keys array<string>, units binary"
+PROBES = "provider_ns string, target int, part int, block string, slice int, n int, rows array<int>, keys array<string>, units binary, wants binary"
 
 
 def blocks_of(rows: DataFrame, k: int, floor: float) -> DataFrame:
-    """The rows in blocks of the kd-tree, one wide row per block, with the k best in the own block and the search radius.
+    """The rows in blocks of the kd-tree, one wide row per slice of a block, with the k best in the own block and the search radius.
 
     ``rows`` has ``provider_ns, entry_key, unit, at, asks``. A block holds about ``BLOCK_BYTES`` of vectors; leaves with more rows
-    are cut by hash.
+    are cut by hash. A slice holds ``SLICE_BYTES``: rows of megabytes would fill an executor as they are sorted and written.
     """
     sizes = rows.groupBy("provider_ns").agg(F.count("*").alias("n"), F.max(F.octet_length("unit")).alias("bytes")).collect()  # a row per namespace
     fits = {r["provider_ns"]: max(1, BLOCK_BYTES // r["bytes"]) for r in sizes}
@@ -150,7 +154,7 @@ def blocks_of(rows: DataFrame, k: int, floor: float) -> DataFrame:
     parts = placed.groupBy("provider_ns", "leaf").agg(F.ceil(F.count("*") / F.max("fits")).alias("_parts"))
     salted = placed.join(parts, ["provider_ns", "leaf"]).withColumn("_part", F.pmod(F.xxhash64("entry_key"), F.col("_parts"))).withColumn(
         "block", F.concat_ws("/", F.col("leaf").cast("string"), F.col("_part").cast("string"))).drop("_parts", "_part", "fits")
-    widest = math.sqrt(max(0.0, 2 - 2 * floor))
+    widest, sliced = math.sqrt(max(0.0, 2 - 2 * floor)), SLICE_BYTES
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("entry_key")
@@ -162,21 +166,26 @@ def blocks_of(rows: DataFrame, k: int, floor: float) -> DataFrame:
         for r, at in zip(full[seen >= k], first[seen >= k]):
             reach[r] = min(widest, math.sqrt(max(0.0, 2 - 2 * c[at:at + k].min())))
         asks, keys = part["asks"].to_numpy(dtype=bool), part.entry_key.to_numpy()
-        ok = asks[i]
-        return pd.DataFrame([{
-            "provider_ns": part.provider_ns.iloc[0], "block": part.block.iloc[0], "number": zlib.crc32(part.block.iloc[0].encode()) % (1 << 30), "n": len(part), "keys": list(keys),
-            "asks": asks.tobytes(), "units": units.tobytes(), "ats": ats.tobytes(), "reach": reach.tobytes(), "lo": list(ats.min(axis=0)), "hi": list(ats.max(axis=0)),
-            "mine": list(i[ok].astype(np.int32)), "near": list(keys[j[ok]]), "cosines": list(c[ok])}])
+        leaf, number = map(int, part.block.iloc[0].split("/"))
+        whole = {"provider_ns": part.provider_ns.iloc[0], "block": part.block.iloc[0], "leaf": leaf, "part": number, "lo": list(ats.min(axis=0)), "hi": list(ats.max(axis=0))}
+        step, out = max(1, sliced // units[0].nbytes), []
+        for x in range(0, len(part), step):
+            at, ok = slice(x, x + step), asks[i] & (i >= x) & (i < x + step)
+            out.append(whole | {
+                "slice": x // step, "n": len(keys[at]), "keys": list(keys[at]), "asks": asks[at].tobytes(), "units": units[at].tobytes(), "ats": ats[at].tobytes(), "reach": reach[at].tobytes(),
+                "mine": list((i[ok] - x).astype(np.int32)), "near": list(keys[j[ok]]), "cosines": list(c[ok])})
+        return pd.DataFrame(out)
 
     return salted.drop("leaf").groupBy("provider_ns", "block").applyInPandas(pack, BLOCK)
 
 
 def _probes(wide: DataFrame, boxes: DataFrame, tightened: DataFrame | None) -> DataFrame:
-    """The rows that ask each further block, in projected order: without ``tightened`` the nearest ``FIRST`` blocks of each row, with it
-    all others that the stopping test leaves, by the radius that the rows found so far give (``provider_ns, block, rows, reaches``)."""
+    """The rows that ask blocks of each further group, and which of them, in projected order: without ``tightened`` the nearest ``FIRST``
+    blocks of each row, with it all others that the stopping test leaves, by the radius that the rows found so far give
+    (``provider_ns, block, slice, rows, reaches``)."""
     scale, first = math.sqrt(chi_square_bound()), tightened is None
     joined = wide.join(F.broadcast(boxes), "provider_ns")
-    joined = joined.withColumns({"rows": F.array().cast("array<int>"), "reaches": F.array().cast("array<float>")}) if first else joined.join(tightened, ["provider_ns", "block"], "left")
+    joined = joined.withColumns({"rows": F.array().cast("array<int>"), "reaches": F.array().cast("array<float>")}) if first else joined.join(tightened, ["provider_ns", "block", "slice"], "left")
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -184,9 +193,12 @@ def _probes(wide: DataFrame, boxes: DataFrame, tightened: DataFrame | None) -> D
                 ats = np.frombuffer(r.ats, dtype=np.float32).reshape(r.n, -1)
                 asks, reach = np.frombuffer(r.asks, dtype=bool), np.frombuffer(r.reach, dtype=np.float32)
                 gaps = np.full((r.n, len(r.boxes)), np.inf, dtype=np.float32)
+                own = 0
                 for b, box in enumerate(r.boxes):
                     if box["block"] != r.block:
                         gaps[:, b] = np.linalg.norm(np.maximum(np.maximum(np.asarray(box["lo"]) - ats, ats - np.asarray(box["hi"])), 0), axis=1)
+                    else:
+                        own = b
                 go = (gaps <= reach[:, None] * scale) & asks[:, None]
                 near = np.argsort(gaps, axis=1, kind="stable")[:, :FIRST]
                 early = np.zeros_like(go)
@@ -200,35 +212,45 @@ def _probes(wide: DataFrame, boxes: DataFrame, tightened: DataFrame | None) -> D
                     go &= ~early & (gaps <= now[:, None] * scale)
                 units = np.frombuffer(r.units, dtype=np.float32).reshape(r.n, -1)
                 keys = np.asarray(r.keys)
-                for b in np.flatnonzero(go.any(axis=0)):
-                    at = np.flatnonzero(go[:, b])
-                    yield pd.DataFrame([{"provider_ns": r.provider_ns, "target": r.boxes[b]["block"], "part": r.number % max(1, len(r.boxes) // GROUPED), "block": r.block, "n": len(at),
-                                         "rows": at.astype(np.int32), "keys": keys[at], "units": units[at].tobytes()}])
+                for g in range(0, len(r.boxes), GROUPED):
+                    wants = go[:, g:g + GROUPED]
+                    at = np.flatnonzero(wants.any(axis=1))
+                    if len(at):
+                        yield pd.DataFrame([{"provider_ns": r.provider_ns, "target": g // GROUPED, "part": own // GROUPED, "block": r.block, "slice": r.slice, "n": len(at),
+                                             "rows": at.astype(np.int32), "keys": keys[at], "units": units[at].tobytes(), "wants": wants[at].tobytes()}])
 
-    return joined.select("provider_ns", "block", "number", "n", "keys", "asks", "units", "ats", "reach", "boxes", "rows", "reaches").mapInPandas(route, PROBES)
+    return joined.select("provider_ns", "block", "slice", "n", "keys", "asks", "units", "ats", "reach", "boxes", "rows", "reaches").mapInPandas(route, PROBES)
 
 
-def _verified(probes: DataFrame, wide: DataFrame, k: int, floor: float) -> DataFrame:
-    """The k best rows of the target block for each row that asks it, by true cosines.
+def _verified(probes: DataFrame, wide: DataFrame, boxes: DataFrame, k: int, floor: float) -> DataFrame:
+    """The k best rows of each target block for each row that asks it, by true cosines.
 
-    The probes of a target come in parts, each with the rows of about ``GROUPED`` blocks at most, so what meets in a task is bounded.
+    What meets in a task is bounded: ``GROUPED`` blocks that are asked, and the asking rows of as many.
     """
-    probes = materialise(probes)
-    asked = probes.select("provider_ns", F.col("target").alias("block"), F.col("part").alias("_part")).distinct()
-    targets = wide.select("provider_ns", "block", "n", "keys", "units").join(asked, ["provider_ns", "block"]).select(
-        F.col("provider_ns").alias("provider_ns"), F.col("block").alias("target"), F.col("_part").alias("part"), "n", "keys", "units")
-
-    def verify(asking: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({c.split()[0]: [] for c in FOUND.split(", ")})]
-        for t in target.itertuples(index=False):
-            v, near = np.frombuffer(t.units, dtype=np.float32).reshape(t.n, -1), np.asarray(t.keys)
-            for r in asking.itertuples(index=False):
-                i, j, c = best(np.frombuffer(r.units, dtype=np.float32).reshape(r.n, -1), v, k, floor, False)
-                out.append(pd.DataFrame({"provider_ns": r.provider_ns, "block": r.block, "row": np.asarray(r.rows)[i], "entry_key": np.asarray(r.keys)[i], "near": near[j], "cosine": c}))
-        return pd.concat(out)
-
-    key = ["provider_ns", "target", "part"]
-    return probes.groupBy(*key).cogroup(targets.groupBy(*key)).applyInPandas(verify, FOUND)
+    probes, key = materialise(probes), ["provider_ns", "target", "part"]
+    groups = boxes.select("provider_ns", F.posexplode("boxes").alias("_i", "_b")).select(
+        "provider_ns", F.col("_b.block").alias("block"), F.floor(F.col("_i") / GROUPED).cast("int").alias("target"), (F.col("_i") % GROUPED).alias("spot"))
+    asked = probes.select("provider_ns", "target", "part").distinct().join(F.broadcast(groups), ["provider_ns", "target"])
+    targets = wide.select("provider_ns", "block", "slice", "n", "keys", "units").join(asked, ["provider_ns", "block"])
+    targets = targets.select(*[F.col(x).alias(x) for x in key], "spot", "slice", "n", "keys", "units")
+
+    def verify(asking: pa.Table, target: pa.Table) -> pa.Table:
+        kinds = pa.schema([("provider_ns", pa.string()), ("block", pa.string()), ("slice", pa.int32()), ("row", pa.int32()), ("entry_key", pa.string()), ("near", pa.string()), ("cosine", pa.float64())])
+        out = [kinds.empty_table()]
+        floats = lambda x: np.frombuffer(x.as_buffer(), dtype=np.float32)
+        for spot in pc.unique(target["spot"]).to_pylist():
+            one = target.filter(pc.equal(target["spot"], spot)).sort_by("slice")
+            v = np.concatenate([floats(x) for x in one["units"]]).reshape(pc.sum(one["n"]).as_py(), -1)
+            near = pa.chunked_array([pc.list_flatten(x) for x in one["keys"].chunks]).combine_chunks()
+            for units, wants, n, rows, keys, ns, block, part in zip(*(asking[x] for x in ("units", "wants", "n", "rows", "keys", "provider_ns", "block", "slice"))):
+                at = np.flatnonzero(np.frombuffer(wants.as_buffer(), dtype=bool).reshape(n.as_py(), -1)[:, spot])
+                i, j, c = best(floats(units).reshape(n.as_py(), -1)[at], v, k, floor, False)
+                if len(i):
+                    i = pa.array(at[i])
+                    out.append(pa.table([pa.repeat(ns, len(i)), pa.repeat(block, len(i)), pa.repeat(part, len(i)), rows.values.take(i), keys.values.take(i), near.take(pa.array(j)), pa.array(c)], schema=kinds))
+        return pa.concat_tables(out)
+
+    return probes.groupBy(*key).cogroup(targets.groupBy(*key)).applyInArrow(verify, FOUND)
 
 
 def most_similar(rows: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
@@ -236,20 +258,20 @@ def most_similar(rows: DataFrame, k: int, floor: float = -1.0) -> DataFrame:
 
     ``rows`` comes from :func:`usable`, with a column ``asks``. Ties go to the lesser key. The search is incremental: own block, then
     the nearest blocks in the projection, then, by the radius that those leave, the rest until the stopping test holds. Only
-    rows that still ask are sent. ``boxes``, which every task gets, is a row of bounds for each ``BLOCK_BYTES`` of vectors.
+    rows that still ask are sent. ``boxes``, which every task gets, is a row of bounds for each ``BLOCK_BYTES`` of vectors, neighbours side by side.
     """
     blocks = materialise(blocks_of(rows, k, floor))
-    boxes = blocks.groupBy("provider_ns").agg(F.collect_list(F.struct("block", "lo", "hi")).alias("boxes"))
-    own = blocks.select("provider_ns", "block", "keys", F.explode(F.arrays_zip("mine", "near", "cosines")).alias("x")).select(
-        "provider_ns", "block", F.col("x.mine").alias("row"), F.get("keys", F.col("x.mine")).alias("entry_key"), "x.near", F.col("x.cosines").alias("cosine"))
+    boxes = blocks.filter("slice = 0").groupBy("provider_ns").agg(F.array_sort(F.collect_list(F.struct("leaf", "part", "block", "lo", "hi"))).alias("boxes"))
+    own = blocks.select("provider_ns", "block", "slice", "keys", F.explode(F.arrays_zip("mine", "near", "cosines")).alias("x")).select(
+        "provider_ns", "block", "slice", F.col("x.mine").alias("row"), F.get("keys", F.col("x.mine")).alias("entry_key"), "x.near", F.col("x.cosines").alias("cosine"))
     wide = blocks.drop("mine", "near", "cosines")
     order = Window.partitionBy("provider_ns", "entry_key").orderBy(F.desc("cosine"), "near")
     top = lambda df: df.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
-    first = materialise(top(own.unionByName(_verified(_probes(wide, boxes, None), wide, k, floor))))
+    first = materialise(top(own.unionByName(_verified(_probes(wide, boxes, None), wide, boxes, k, floor))))
     reach = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine"))).cast("float")
-    last = first.filter(F.col("_r") == k).groupBy("provider_ns", "block").agg(F.collect_list(F.struct("row", reach.alias("reach"))).alias("_l"))
-    tightened = last.select("provider_ns", "block", F.col("_l.row").alias("rows"), F.col("_l.reach").alias("reaches"))
-    further = _verified(_probes(wide, boxes, tightened), wide, k, floor)
+    last = first.filter(F.col("_r") == k).groupBy("provider_ns", "block", "slice").agg(F.collect_list(F.struct("row", reach.alias("reach"))).alias("_l"))
+    tightened = last.select("provider_ns", "block", "slice", F.col("_l.row").alias("rows"), F.col("_l.reach").alias("reaches"))
+    further = _verified(_probes(wide, boxes, tightened), wide, boxes, k, floor)
     return top(first.drop("_r").unionByName(further)).select("provider_ns", "entry_key", "near", "cosine")
 
 

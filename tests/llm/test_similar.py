@@ -44,6 +44,20 @@ def test_against_brute_force(spark, monkeypatch, rows_per_block):
     assert sum(len(full[k] & set(want[k])) for k in want) / (5 * len(want)) >= 0.95
 
 
+def test_rows_that_are_sent_are_small(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK_BYTES", 50 * 24 * 4)
+    monkeypatch.setattr(similar, "SLICE_BYTES", 7 * 24 * 4, raising=False)
+    monkeypatch.setattr(similar, "GROUPED", 2)
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((300, 24))
+    df, by_key = table(spark, np.concatenate([base, base[:60] + 0.2 * rng.standard_normal((60, 24))]).tolist())
+    rows = similar.usable(df, spark.createDataFrame([("n", 24)], "provider_ns string, dims int")).withColumn("asks", F.lit(True))
+    blocks = similar.blocks_of(rows, 5, 0.85)
+    assert blocks.agg(F.max(F.octet_length("units"))).first()[0] <= 7 * 24 * 4 and blocks.agg(F.sum("n")).first()[0] == 360
+    want = {(a, b) for a, x in brute(by_key, 5).items() for b, c in x.items() if c >= 0.85}
+    assert want and {(r.entry_key, r.near) for r in similar.with_copies(rows, 5, 0.85).collect()} == want
+
+
 def test_unusable_entries_and_copies(spark):
     v = [1.0, 2.0]
     rows = [("r", 2, "n", k, x, "c") for k, x in (("a", v), ("b", v), ("c", v), ("d", [0.0, 0.0]), ("e", [float("nan"), 1.0]), ("f", [1.0]), ("g", None), ("h", [float("inf"), 1.0]), ("i", [1.0, None]), ("a", v))]
