@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ctxspark.session import materialise
+
 #: Length classes of the least-squares step, and the depths of the combinations it enumerates, in the order they are tried.
 CLASSES, DEPTHS = 32, (3, 2)
 #: Containers of the least-squares step leave at most this part of the capacity.
@@ -175,43 +177,53 @@ def greedy_plan(left: dict[int, int], opened: Plan, capacity: int) -> Plan:
     return done + [x for at in spaces for x in space[at]]
 
 
+SLOTS = "limit_id int, size int, first long, often long, times int, base long"
+
+
+def _slots(histogram: pd.DataFrame) -> pd.DataFrame:
+    """The patterns of one limit (``limit_id, _cap, size, n``), a row for each length in each.
+
+    A pattern holds the length ``times`` in each of its ``often`` containers, the first of which is ``base``, and takes the items of that
+    length from rank ``first`` on.
+    """
+    limit_id, base, taken, slots = int(histogram.limit_id.iloc[0]), 0, defaultdict(int), []
+    histogram = histogram.sort_values("size")  # the plan doesn't depend on the order in which rows arrive
+    for lengths, often in plan(dict(zip(histogram["size"].tolist(), histogram.n.tolist())), int(histogram["_cap"].iloc[0])):
+        for n, times in Counter(lengths).items():
+            slots.append((limit_id, n, taken[n], often, times, base))
+            taken[n] += often * times
+        base += often
+    return pd.DataFrame(slots, columns=[x.split()[0] for x in SLOTS.split(", ")])
+
+
 def packed(items: DataFrame, limits: DataFrame) -> DataFrame:
     """``limit_id, doc_id, piece, tokens, container``: every item, in a container of every limit.
 
     ``items`` has ``doc_id, tokens``; an item above the capacity is cut into full pieces, each a container of its own, and
     a rest that is packed like an item. ``limits`` (``limit_id, capacity_tokens``) is a fixed small table. Repeated doc_ids,
-    and items of no tokens, come in once and not at all. What reaches the driver is one count per limit and length, at most
-    ``capacity`` of them for a limit; what it plans is patterns with their counts, whose number depends on the lengths only.
+    and items of no tokens, come in once and not at all. A limit's histogram, of at most ``capacity`` rows, meets in one task, which plans
+    patterns with their counts, whose number depends on the lengths only. The driver gets the largest count and nothing else.
     """
-    spark = items.sparkSession
     bounds = limits.filter("capacity_tokens > 0").select("limit_id", F.col("capacity_tokens").alias("_cap")).distinct()
     last = F.floor((F.col("tokens") - 1) / F.col("_cap")).cast("int")
     parts = items.filter("tokens > 0").select("doc_id", "tokens").join(F.broadcast(bounds)).select(
         "limit_id", "doc_id", F.explode(F.sequence(F.lit(0), last)).alias("piece"), "tokens", "_cap").select(
-        "limit_id", "doc_id", "piece", F.least(F.col("_cap"), F.col("tokens") - F.col("piece").cast("long") * F.col("_cap")).cast("int").alias("size"))
-    counts = parts.groupBy("limit_id", "size").agg(F.count("*").alias("n")).collect()  # the histograms
-    salts = 1 + max((r["n"] for r in counts), default=0) // SALT_ROWS
-    slots = []
-    for limit_id, cap in sorted((r["limit_id"], r["_cap"]) for r in bounds.collect()):
-        base, taken = 0, defaultdict(int)
-        for lengths, often in plan({r["size"]: r["n"] for r in counts if r["limit_id"] == limit_id}, cap):
-            for n, times in Counter(lengths).items():
-                slots.append((limit_id, n, taken[n], often, times, base))
-                taken[n] += often * times
-            base += often
-    kind = "limit_id int, size int, first long, often long, times int, base long"
-    patterns = spark.createDataFrame(pd.DataFrame(slots, columns=[x.split()[0] for x in kind.split(", ")]), kind)
+        "limit_id", "_cap", "doc_id", "piece", F.least(F.col("_cap"), F.col("tokens") - F.col("piece").cast("long") * F.col("_cap")).cast("int").alias("size"))
+    counts = materialise(parts.groupBy("limit_id", "_cap", "size").agg(F.count("*").alias("n")))  # the histograms
+    salts = 1 + (counts.agg(F.max("n")).first()[0] or 0) // SALT_ROWS
+    patterns = materialise(counts.groupBy("limit_id", "_cap").applyInPandas(_slots, SLOTS))
     # a pattern's containers fall into runs, and those into single slots, on the cluster
     runs = patterns.select("*", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("often") * F.col("times") - 1).cast("long"), F.lit(RUN).cast("long"))).alias("_run")).repartition("limit_id", "size", "_run")
     upto = F.least(F.col("_run") + RUN, F.col("often") * F.col("times")) - 1
     each = runs.select("limit_id", "size", "first", "times", "base", F.explode(F.sequence(F.col("_run"), upto)).alias("_i")).select(
         "limit_id", "size", (F.col("first") + F.col("_i")).alias("_rank"), (F.col("base") + F.floor(F.col("_i") / F.col("times"))).alias("container"))
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = parts.drop("_cap").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("limit_id", "size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("limit_id", "size", "_salt").agg(F.count("*").alias("n")).withColumn("_offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     rank = F.row_number().over(Window.partitionBy("limit_id", "size", "_salt").orderBy("doc_id", "piece")) - 1
     ranked = salted.withColumn("_rank", rank).join(offsets, ["limit_id", "size", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_offset"))
-    return ranked.join(each, ["limit_id", "size", "_rank"]).select("limit_id", "doc_id", "piece", F.col("size").alias("tokens"), "container")
+    # the runs are few and the slots as many as the items, so Spark's size check would broadcast them through the driver
+    return ranked.join(each.hint("merge"), ["limit_id", "size", "_rank"]).select("limit_id", "doc_id", "piece", F.col("size").alias("tokens"), "container")
 
 
 def planned_fill(items: DataFrame, limits: DataFrame) -> DataFrame:

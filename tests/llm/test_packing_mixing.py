@@ -44,6 +44,21 @@ def test_least_squares():
     assert np.allclose(packing.non_negative_least_squares(a, a @ x), x, atol=1e-6)
 
 
+def test_the_driver_plans_nothing(spark, monkeypatch):
+    items = spark.createDataFrame([(i, 1 + i % 40) for i in range(200)], "doc_id long, tokens long")
+    limits = spark.createDataFrame([(1, 50), (2, 64)], "limit_id int, capacity_tokens int")
+    monkeypatch.setattr(packing, "plan", None)
+    rows = packing.packed(items, limits).collect()
+    assert len(rows) == 400 and {(r.doc_id, r.tokens) for r in rows} == {(r.doc_id, r.tokens) for r in items.collect()}
+
+
+def test_slots_are_not_broadcast(spark):
+    items = spark.createDataFrame([(i, 3) for i in range(50)], "doc_id long, tokens long")
+    limits = spark.createDataFrame([(1, 10)], "limit_id int, capacity_tokens int")
+    plan = packing.packed(items, limits)._jdf.queryExecution().sparkPlan().toString()
+    assert any("SortMergeJoin" in x and "_rank" in x for x in plan.splitlines())
+
+
 def test_packed(spark):
     items = spark.createDataFrame([(i, n) for i, n in enumerate([5, 5, 5, 7, 3, 25, 10, 0, 1, 9] + [4] * 50)], "doc_id long, tokens long")
     limits = spark.createDataFrame([(1, 10), (2, 100)], "limit_id int, capacity_tokens int")
